@@ -6,21 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from hopwise.llm.bpe import bpe_digests
 from hopwise.llm.common import table
 from hopwise.llm.exact_dedup import exact_dedup
 from hopwise.llm.sharding import SEED, SHARDS, interleaved_shards
+from hopwise.llm.simhash import near_duplicates
+
+
+def op4_pivot_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
 def op6_stratified_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interleaved_shards(table(spark, sf_dir, "documents"))
 
 
+def op7_streaming_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(table(spark, sf_dir, "documents"))
+
+
 def op10_tree_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_pivot_simhash": op4_pivot_simhash,
     "op6_stratified_sharding": op6_stratified_sharding,
+    "op7_streaming_bpe": op7_streaming_bpe,
     "op10_tree_merge_dedup": op10_tree_merge_dedup,
 }
 
