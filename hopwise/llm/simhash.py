@@ -80,8 +80,8 @@ class PivotTable:
 
     def close(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Which of the pairs (i, j) are linked: discard by the coordinates, four more at a time, and verify the rest."""
-        left = np.arange(max(len(i), len(j)))
         i, j = np.broadcast_arrays(i, j)
+        left = np.arange(len(i))
         for c in range(0, self.table.shape[1], 4):
             gap = np.abs(self.table[i[left], c : c + 4] - self.table[j[left], c : c + 4]).max(axis=1, initial=0)
             left = left[gap <= self.max_bits]
