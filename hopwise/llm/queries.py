@@ -7,12 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from hopwise.llm.bpe import bpe_digests
-from hopwise.llm.common import table
+from hopwise.llm.common import RID, table
 from hopwise.llm.exact_dedup import exact_dedup
+from hopwise.llm.quality import factor_scores, fit_factor_machine, fit_ngram_model, quality_rules
 from hopwise.llm.sharding import SEED, SHARDS, interleaved_shards
 from hopwise.llm.simhash import near_duplicates
 
 
+def op3_hashed_ngram_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules(docs, fit_ngram_model(docs, table(spark, sf_dir, "labels"))).drop(RID)
+
+
 def op4_pivot_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -25,14 +31,21 @@ def op7_streaming_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"))
 
 
+def op8_factor_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return factor_scores(docs, fit_factor_machine(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_tree_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_hashed_ngram_rules": op3_hashed_ngram_rules,
     "op4_pivot_simhash": op4_pivot_simhash,
     "op6_stratified_sharding": op6_stratified_sharding,
     "op7_streaming_bpe": op7_streaming_bpe,
+    "op8_factor_machine": op8_factor_machine,
     "op10_tree_merge_dedup": op10_tree_merge_dedup,
 }
 
