@@ -10,14 +10,12 @@ import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
-import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from hopwise.llm.common import RID, arrow, as_bytes, picked, rows_at_a_time
+from hopwise.llm.common import as_bytes, picked, rows_at_a_time
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 #: White-space-separated units whose encoding a worker remembers.
@@ -297,6 +295,18 @@ def _digests(e: Encoder, byte_level: bool, text: bytes) -> tuple[int, str, str]:
     return len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), back.hexdigest()
 
 
+def _by_units(known: Remembered, text: bytes) -> tuple[int, str, str]:
+    total, ids, back = 0, hashlib.sha256(), hashlib.sha256()
+    for block in units(text):
+        got = [x for u in block if (x := known[u])[0]]
+        if got:
+            gap = b" " if total else b""
+            ids.update(gap + b" ".join([x[1] for x in got]))
+            back.update(gap + b" ".join([x[2] for x in got]))
+            total += sum([x[0] for x in got])
+    return total, ids.hexdigest(), back.hexdigest()
+
+
 def bpe_digests(df: DataFrame, path: str = TOKENIZER, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per input row: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
@@ -311,40 +321,13 @@ def bpe_digests(df: DataFrame, path: str = TOKENIZER, text: str = "text", doc_id
     byte_level = (spec.get("decoder") or {}).get("type") == "ByteLevel"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([(RID, pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
         e = encoder_of(source)
         plain = e.units and not byte_level
         known = remembered(source, "spelled", _spelled)
         for b in rows_at_a_time(batches):
-            n, a, d = [], [], []
-            for text in as_bytes(b["text"]):
-                if not plain:
-                    x = _digests(e, byte_level, text)
-                    n.append(x[0])
-                    a.append(x[1])
-                    d.append(x[2])
-                    continue
-                total, ids, back = 0, hashlib.sha256(), hashlib.sha256()
-                for block in units(text):
-                    got = [known[u] for u in block]
-                    m = sum([x[0] for x in got])
-                    if not m:
-                        continue
-                    gap = b" " if total else b""
-                    ids.update(gap + b" ".join([x[1] for x in got if x[0]]))
-                    back.update(gap + b" ".join([x[2] for x in got if x[0]]))
-                    total += m
-                n.append(total)
-                a.append(ids.hexdigest())
-                d.append(back.hexdigest())
-            yield arrow(schema, [b[RID], n, a, d])
+            out = [_by_units(known, t) if plain else _digests(e, byte_level, t) for t in as_bytes(b["text"])]
+            cols = [pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], *cols], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = picked(df, doc_id=doc_id, text=text)
-    kind = rows.schema["doc_id"].dataType.simpleString()
-
-    def with_id(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in rows_at_a_time(batches):
-            for out in run([b]):
-                yield pa.RecordBatch.from_arrays([b["doc_id"], *out.columns[1:]], names=["doc_id", *out.schema.names[1:]])
-
-    return rows.mapInArrow(with_id, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

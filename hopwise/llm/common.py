@@ -9,10 +9,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Name of the internal row id; inputs may carry any other column.
+#: Name of the internal row key; inputs may carry any other column.
 RID = "__rid"
 
 
+def row_key(doc_id: str, text: str) -> Column:
+    """128 bits of doc_id and text. Unlike a row number it stays the same when a lost executor's files are split anew; rows alike in both share it."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("n")), F.lit("|"), F.coalesce(F.col(text), F.lit("")))))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared folder in spark.checkpoint.dir; a folder of our own only where that is unset."""
     sc = df.sparkSession.sparkContext
@@ -26,8 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def picked(df: DataFrame, **columns: str | Column) -> DataFrame:
-    """The named input columns only, under internal names, with a row id; whatever else the input carries can't clash."""
-    return df.select(*[(F.col(f"`{c}`") if isinstance(c, str) else c).alias(n) for n, c in columns.items()]).withColumn(RID, F.monotonically_increasing_id())
+    """The named input columns only, under internal names; whatever else the input carries can't clash."""
+    return df.select(*[(F.col(f"`{c}`") if isinstance(c, str) else c).alias(n) for n, c in columns.items()])
+
+
+def only(df: DataFrame, kept: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The rows of df whose key is in kept, with all their columns; of rows with the same key one."""
+    return df.withColumn(RID, row_key(doc_id, text)).join(kept, RID, "left_semi").dropDuplicates([RID]).drop(RID)
 
 
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:

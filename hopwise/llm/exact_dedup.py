@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hopwise.llm.common import RID, checkpointed, picked
+from hopwise.llm.common import RID, checkpointed, only, picked, row_key
 
 #: Runs merged into one in a round: four binomial steps.
 FAN_IN_BITS = 4
@@ -13,8 +13,8 @@ FAN_IN_BITS = 4
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
-def exact_dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", fan_in_bits: int = FAN_IN_BITS) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256 and the row's id.
+def exact_dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", fan_in_bits: int = FAN_IN_BITS, keyed: bool = False) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256; with keyed, the row's key too.
 
     Texts are equal when they are identical without ``[\\x20\\x09-\\x0D]``; of equal texts the row with the most code
     points stays, then the smallest doc_id. Each input partition is one run: sorted by digest, one row for each text.
@@ -27,13 +27,14 @@ def exact_dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", fan_i
     gives an empty result; other columns are not looked at.
     """
     norm = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), _SPACE, "")
+    key = [row_key("doc_id", "text").alias(RID)] if keyed else []
     rows = picked(df, doc_id=doc_id, text=text)
     rows = rows.select(
-        RID, "doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("chars"), norm.alias("norm"), F.spark_partition_id().alias("run")
-    ).select(RID, "doc_id", "chars", "run", F.sha2("norm", 256).alias("digest"), F.xxhash64("norm").alias("proof"), F.octet_length("norm").alias("size"))
-    rows = checkpointed(rows)
+        *key, F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("chars"), norm.alias("norm"), F.spark_partition_id().alias("run")
+    )
+    rows = checkpointed(rows.select("*", F.sha2("norm", 256).alias("digest"), F.xxhash64("norm").alias("proof"), F.octet_length("norm").alias("size")).drop("norm"))
     same = ["digest", "proof", "size"]
-    best = F.struct((-F.col("chars")).alias("fewer"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(RID).alias("row"))
+    best = F.struct((-F.col("chars")).alias("fewer"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row"))
     runs = rows.groupBy("run", *same).agg(F.min(best).alias("best"), F.count("*").alias("n"))
     last = rows.agg(F.max("run")).first()[0] or 0
     while True:
@@ -43,11 +44,10 @@ def exact_dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", fan_i
             break
     kept = runs.select(*same, F.col("best.id").alias("keep_id"), F.col("best.row").alias("keep_row"), F.col("n").alias("group_size"))
     return rows.join(kept, same).select(
-        RID, "doc_id", "keep_id", "group_size", (F.col(RID) == F.col("keep_row")).alias("kept"), F.col("digest").alias("text_sha256")
+        *([RID] if keyed else []), "doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.col("digest").alias("text_sha256")
     )
 
 
 def survivors(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of df that stay, with all their columns."""
-    kept = exact_dedup(df, text, doc_id).where("kept").select(RID)
-    return df.withColumn(RID, F.monotonically_increasing_id()).join(kept, RID, "left_semi").drop(RID)
+    return only(df, exact_dedup(df, text, doc_id, keyed=True).where("kept").select(RID), doc_id, text)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hopwise.llm.common import RID, arrow, as_bytes, picked, rows_at_a_time
+from hopwise.llm.common import as_bytes, picked, rows_at_a_time
 
 #: Labelled rows that a model is fitted on: so many of each class at most, the first ones by a seeded hash of doc_id.
 SAMPLE_PER_CLASS = 1000
@@ -198,8 +198,17 @@ def fit_ngram_model(docs: DataFrame, labels: DataFrame, text: str = "text", doc_
     return NgramModel().fit([((t or "").encode().split(), y) for t, _, y in rows], counts)
 
 
+def _ruled(text: bytes, model: NgramModel, lex: Lexicon, keep_at: float) -> tuple:
+    words = text.split()
+    known = lex.of(words)
+    again = repeated_words(known[0])
+    failed = len(words) < MIN_WORDS or 100 * again > MAX_REPEATED_PERCENT * len(words)
+    p = model.probability(*known)
+    return len(words), *byte_counts(text), duplicate_lines(text), again, failed, p, not failed and p >= keep_at
+
+
 def quality_rules(df: DataFrame, model: NgramModel, text: str = "text", doc_id: str = "doc_id", keep_at: float = KEEP_AT) -> DataFrame:
-    """One row per input row: __rid, doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, probability, kept.
+    """One row per input row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, probability, kept.
 
     Words are ``[^\\x20\\x09-\\x0D]+``. base_failed: under 20 words, or over 30 % of them in repeated 8-word windows. The
     others are kept if the model's calibrated probability of quality is keep_at or more. A model fitted on no labels, or
@@ -207,32 +216,29 @@ def quality_rules(df: DataFrame, model: NgramModel, text: str = "text", doc_id:
     other columns are not looked at; an empty table gives an empty result. Whole texts are scored, in Arrow batches.
     """
     rows = picked(df, doc_id=doc_id, text=text)
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "probability", "kept"]
+    types = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex = model.lexicon()
+        for b in rows_at_a_time(batches):
+            out = [_ruled(t, model, lex, keep_at) for t in as_bytes(b["text"])]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], *[pa.array([x[i] for x in out], t) for i, t in enumerate(types)]], names=names)
+
     kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, probability double, kept boolean")
+
+
+def rule_keepers(df: DataFrame, model: NgramModel, text: str = "text", keep_at: float = KEEP_AT) -> DataFrame:
+    """The rows of df that the rules keep, with all their columns, in one pass."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = model.lexicon()
         for b in rows_at_a_time(batches):
-            out = []
-            for t in as_bytes(b["text"]):
-                words = t.split()
-                known = lex.of(words)
-                chars, symbols = byte_counts(t)
-                again = repeated_words(known[0])
-                failed = len(words) < MIN_WORDS or 100 * again > MAX_REPEATED_PERCENT * len(words)
-                p = model.probability(*known)
-                out.append((len(words), chars, symbols, duplicate_lines(t), again, failed, p, not failed and p >= keep_at))
-            cols = [*zip(*out, strict=True)] if out else [()] * 8
-            types = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([b[RID], b["doc_id"], *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], names=names)
-
-    names = [RID, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "probability", "kept"]
-    return rows.mapInArrow(run, f"{RID} long, doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, probability double, kept boolean")
-
-
-def rule_keepers(df: DataFrame, model: NgramModel, text: str = "text", doc_id: str = "doc_id", keep_at: float = KEEP_AT) -> DataFrame:
-    """The rows of df that the rules keep, with all their columns."""
-    kept = quality_rules(df, model, text, doc_id, keep_at).where("kept").select(RID)
-    return df.withColumn(RID, F.monotonically_increasing_id()).join(kept, RID, "left_semi").drop(RID)
+            yield b.filter(pa.array([_ruled(t, model, lex, keep_at)[-1] for t in as_bytes(b[at])], pa.bool_()))
+
+    at = df.columns.index(text)
+    return df.mapInArrow(run, df.schema)
 
 
 class FactorMachine:

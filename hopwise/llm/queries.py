@@ -7,16 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from hopwise.llm.bpe import bpe_digests
-from hopwise.llm.common import RID, table
+from hopwise.llm.common import table
 from hopwise.llm.exact_dedup import exact_dedup
 from hopwise.llm.quality import factor_scores, fit_factor_machine, fit_ngram_model, quality_rules
+from hopwise.llm.repeats import remove_repeats
 from hopwise.llm.sharding import SEED, SHARDS, interleaved_shards
 from hopwise.llm.simhash import near_duplicates
 
 
+def op2_suffix_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op3_hashed_ngram_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return quality_rules(docs, fit_ngram_model(docs, table(spark, sf_dir, "labels"))).drop(RID)
+    return quality_rules(docs, fit_ngram_model(docs, table(spark, sf_dir, "labels")))
 
 
 def op4_pivot_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +46,7 @@ def op10_tree_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_suffix_intervals": op2_suffix_intervals,
     "op3_hashed_ngram_rules": op3_hashed_ngram_rules,
     "op4_pivot_simhash": op4_pivot_simhash,
     "op6_stratified_sharding": op6_stratified_sharding,

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hopwise.llm.common import RID, arrow, as_bytes, checkpointed, picked, rows_at_a_time
+from hopwise.llm.common import RID, as_bytes, checkpointed, only, picked, row_key, rows_at_a_time, arrow
 from hopwise.llm.components import components
 
 SEED = 42
@@ -44,16 +44,19 @@ def fingerprint(words: list[bytes], k: int = SHINGLE_WORDS, block: int = 1 << 15
     return int.from_bytes(np.packbits(2 * total > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(__rid, doc_id, fp): fp is the fingerprint as a signed long."""
+def fingerprints(df: DataFrame, text: str = "text", doc_id: str = "doc_id", keyed: bool = False) -> DataFrame:
+    """(doc_id, fp), with keyed the row's key too: fp is the fingerprint as a signed long."""
+    names = [RID] * keyed + ["doc_id", "fp"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([(RID, pa.int64()), ("doc_id", pa.int64()), ("fp", pa.int64())])
         for b in rows_at_a_time(batches):
             fp = np.array([fingerprint(x.lower().split()) for x in as_bytes(b["text"])], np.uint64)
-            yield arrow(schema, [b[RID], b["doc_id"], fp.view(np.int64)])
+            yield pa.RecordBatch.from_arrays([b[n] for n in names[:-1]] + [pa.array(fp.view(np.int64))], names=names)
 
-    return picked(df, doc_id=F.col(doc_id).cast("long"), text=text).mapInArrow(run, f"{RID} long, doc_id long, fp long")
+    rows = picked(df, doc_id=F.col(doc_id).cast("long"), text=text)
+    if keyed:
+        rows = rows.withColumn(RID, row_key("doc_id", "text"))
+    return rows.mapInArrow(run, f"{RID} binary, " * keyed + "doc_id long, fp long")
 
 
 def pivots(n: int = PIVOTS) -> np.ndarray:
@@ -157,28 +160,28 @@ def linked_fingerprints(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return dealt.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_links(max_bits), "a long, b long").distinct()
 
 
-def near_duplicates(df: DataFrame, max_bits: int = MAX_BITS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per input row: __rid, doc_id, fingerprint, component_id, component_row.
+def near_duplicates(df: DataFrame, max_bits: int = MAX_BITS, text: str = "text", doc_id: str = "doc_id", keyed: bool = False) -> DataFrame:
+    """One row per input row: doc_id, fingerprint, component_id; with keyed also the row's key and that of its component's first row.
 
     A-Z is lower-cased, words are ``[^\\x20\\x09-\\x0D]+``, shingles are of four words with repeats; fingerprints link at
-    max_bits or fewer differing bits. component_id is the smallest doc_id that a document reaches, component_row the row
-    id of that document. Equal fingerprints are one node, so copies cost nothing beyond their fingerprint.
+    max_bits or fewer differing bits. component_id is the smallest doc_id that a document reaches. Equal fingerprints are one node, so copies cost nothing beyond their fingerprint.
     Null and empty texts have fingerprint zero and link like any other; a null doc_id comes after all others; repeated
     rows are in one component; an empty table gives an empty result; other columns are not looked at.
     """
-    docs = checkpointed(fingerprints(df, text, doc_id))
-    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(RID).alias("row"))
+    docs = checkpointed(fingerprints(df, text, doc_id, keyed))
+    key = [F.col(RID).alias("row")] if keyed else []
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), *key)
     fps = checkpointed(docs.groupBy("fp").agg(F.min(first).alias("first")))
     label = components(linked_fingerprints(fps, max_bits))
     rooted = fps.join(label, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     best = rooted.groupBy("root").agg(F.min("first").alias("best"))
     named = rooted.join(best, "root").select("fp", "best")
     return docs.join(named, "fp").select(
-        RID, "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("best.id").alias("component_id"), F.col("best.row").alias("component_row")
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("best.id").alias("component_id"), *([RID, "best.row"] if keyed else [])
     )
 
 
 def representatives(df: DataFrame, max_bits: int = MAX_BITS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of df with the smallest doc_id of their component, with all their columns."""
-    kept = near_duplicates(df, max_bits, text, doc_id).where(F.col(RID) == F.col("component_row")).select(RID)
-    return df.withColumn(RID, F.monotonically_increasing_id()).join(kept, RID, "left_semi").drop(RID)
+    kept = near_duplicates(df, max_bits, text, doc_id, keyed=True).where(F.col(RID) == F.col("row")).select(RID)
+    return only(df, kept, doc_id, text)
