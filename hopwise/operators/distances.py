@@ -43,6 +43,8 @@ def genome_pair_distances(graphs: DataFrame, edges: DataFrame, queries: DataFram
         search = Search(Compact(graph["src"].to_numpy(), graph["dst"].to_numpy(), graph["weight"].to_numpy(float)), True)
         return _by_source(todo, search, max_distance).assign(genome_id=key[0])[["genome_id", "idx", "distance"]]
 
+    # both sides come of the genomes' links: their columns need ids of their own
+    sent, here = (x.select(*[F.col(c).alias(c) for c in x.columns]) for x in (sent, here))
     return sent.groupBy("genome_id", "task").cogroup(here.groupBy("genome_id", "task")).applyInPandas(run, "genome_id long, idx long, distance double")
 
 

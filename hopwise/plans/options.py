@@ -119,7 +119,17 @@ def parser() -> argparse.ArgumentParser:
 
 
 def parse(argv: list[str]) -> Options:
-    a = vars(parser().parse_args(argv))
+    """An option's value may be a negative number, although -1 is an option too."""
+    p, words, i = parser(), [], 0
+    valued = {o for a in p._actions if a.nargs is None and a.option_strings for o in a.option_strings}
+    while i < len(argv):
+        if argv[i] in valued and i + 1 < len(argv):
+            words.append(f"{argv[i]}={argv[i + 1]}")
+            i += 1
+        else:
+            words.append(argv[i])
+        i += 1
+    a = vars(p.parse_args(words))
     if a.pop("all_one_based"):
         a |= {"graph_one_based": True, "queries_one_based": True, "output_one_based": True}
     if a["n_queries"] is not None and a["n_queries"] <= 0:
