@@ -19,7 +19,7 @@ from hopwise.llm.common import as_bytes, picked, rows_at_a_time
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 #: White-space-separated units whose encoding a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 
 #: White space as the tokenizers library's patterns know it.
 _SPACE = r"\t-\r \x85\xa0  -     　"
@@ -92,8 +92,9 @@ class Encoder:
 
     def _rules(self, spec: dict) -> None:
         parts = lambda x, many: [] if x is None else x[many] if x["type"] == "Sequence" else [x]
-        self.steps = []
+        self.steps, self.kinds = [], []
         for n in parts(spec.get("normalizer"), "normalizers"):
+            self.kinds.append("Space" if n["type"] == "Replace" and n["pattern"] == {"Regex": r"\s+"} else n["type"])
             if n["type"] in ("NFC", "NFD", "NFKC", "NFKD"):
                 self.steps.append(lambda s, form=n["type"]: unicodedata.normalize(form, s))
             elif n["type"] == "Lowercase":
@@ -125,13 +126,18 @@ class Encoder:
 
     def _few(self, s: list[int]) -> list[int]:
         rank, size, none = self.rank, self.size, (1 << 60, 0)
-        while len(s) > 1:
-            options = [rank.get(a * size + b, none) for a, b in zip(s, s[1:], strict=False)]
+        options = [rank.get(a * size + b, none) for a, b in zip(s, s[1:], strict=False)]
+        while options:
             best = min(options)
             if best is none:
                 break
             at = options.index(best)
-            s[at : at + 2] = [best[1]]
+            s[at : at + 2] = [made] = best[1:]
+            del options[at]
+            if at:
+                options[at - 1] = rank.get(s[at - 1] * size + made, none)
+            if at < len(options):
+                options[at] = rank.get(made * size + s[at + 1], none)
         return s
 
     def _many(self, s: list[int]) -> list[int]:
@@ -159,6 +165,8 @@ class Encoder:
         """Ids of one pattern match, emitted as they become stable; only lookahead and block symbols are held."""
         if self.whole and (i := self.vocab.get("".join(self.text[self.byte[b]] for b in raw) + self.suffix)) is not None:
             return [i]
+        if len(raw) <= 24:
+            return self._few([self.byte[b] for b in raw[:-1]] + [self.last_byte[raw[-1]]])
         t, out = Transducer(self), []
         for at in range(0, len(raw) - 1, Transducer.BLOCK):
             out += t.push([self.byte[b] for b in raw[at : min(at + Transducer.BLOCK, len(raw) - 1)]])
@@ -176,7 +184,8 @@ class Encoder:
         if at < len(text):
             yield text[at:]
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str, words: dict[bytes, list[int]] | None = None) -> list[int]:
+        """words: what is known of pattern matches."""
         out: list[int] = []
         for part in self.segments(text):
             if isinstance(part, int):
@@ -186,7 +195,8 @@ class Encoder:
                 part = step(part)
             for m in self.split.finditer(part):
                 if m[0]:
-                    out += self.word(m[0].encode("utf-8"))
+                    raw = m[0].encode("utf-8")
+                    out += self.word(raw) if words is None else words[raw]
         return out
 
 
@@ -243,21 +253,44 @@ def encoder_of(source: str) -> Encoder:
 
 
 class Remembered(dict):
-    """Unit -> what `made` gives for its ids; emptied when full, so its memory is bounded."""
+    """Key -> what `made` gives for it. When full it becomes the older half of the memory, from which keys met again come back; so memory is bounded and common keys stay."""
 
-    def __init__(self, encoder: Encoder, made, most: int = REMEMBERED) -> None:
-        self.encoder, self.made, self.most = encoder, made, most
+    def __init__(self, made, most: int = REMEMBERED) -> None:
+        self.made, self.most, self.older = made, most // 2, {}
 
-    def __missing__(self, unit: bytes):
+    def __missing__(self, key: bytes):
         if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
-        ids = self.encoder.encode(unit.decode("utf-8", "replace"))
-        value = self.made(ids)
-        if len(unit) <= 64:
-            self[unit] = value
+        value = self.older.get(key)
+        if value is None:
+            value = self.made(key)
+        if len(key) <= 64:
+            self[key] = value
         return value
 
 
+class UnitEncoder:
+    """Ids of a white-space-free unit. A word of letters is known by itself, so that punctuation and case beside it cost no second merge."""
+
+    def __init__(self, encoder: Encoder) -> None:
+        self.encoder = encoder
+        self.words = Remembered(encoder.word)
+        self.special = tuple({t.encode()[:2] for t in encoder.added})
+        #: No normalizer does more to ASCII without white space than lower-case it, and letters are one match.
+        self.simple = set(encoder.kinds) <= {"NFC", "NFD", "NFKC", "NFKD", "Lowercase", "Space"} and encoder.split.findall("abyz") == ["abyz"]
+        self.lower = "Lowercase" in encoder.kinds
+
+    def __call__(self, unit: bytes) -> list[int]:
+        if not self.simple or not unit.isascii() or any([t in unit for t in self.special]):
+            return self.encoder.encode(unit.decode("utf-8", "replace"), self.words)
+        if self.lower:
+            unit = unit.lower()
+        if unit.isalpha():
+            return self.words[unit]
+        return [i for m in self.encoder.split.findall(unit.decode()) for i in self.words[m.encode()]]
+
+
 def units(text: bytes, block: int = 1 << 20) -> Iterator[list[bytes]]:
     """The white-space-separated units of a text, a block's worth at a time."""
     at, n = 0, len(text)
@@ -269,22 +302,23 @@ def units(text: bytes, block: int = 1 << 20) -> Iterator[list[bytes]]:
         at = end
 
 
-def _spelled(encoder: Encoder):
-    return lambda ids: (len(ids), " ".join(map(str, ids)).encode(), " ".join([encoder.text[i] for i in ids]).encode())
-
-
 _worker: dict = {}
 
 
 def remembered(source: str, kind: str, made) -> Remembered:
-    """A worker's memory of units, kept from task to task."""
+    """A worker's memory of units, kept from task to task; made: (encoder, ids) -> what is remembered of a unit."""
     key = (hash(source), kind)
     if key not in _worker:
         e = encoder_of(source)
-        _worker[key] = Remembered(e, made(e))
+        ids_of = UnitEncoder(e)
+        _worker[key] = Remembered(lambda unit: made(e, ids_of(unit)))
     return _worker[key]
 
 
+def _spelled(e: Encoder, ids: list[int]) -> tuple[int, bytes, bytes]:
+    return len(ids), " ".join(map(str, ids)).encode(), " ".join([e.text[i] for i in ids]).encode()
+
+
 def _digests(e: Encoder, byte_level: bool, text: bytes) -> tuple[int, str, str]:
     """Of any file: the whole text goes through the encoder and back through the decoder."""
     ids = e.encode(text.decode("utf-8"))
