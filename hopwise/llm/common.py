@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hopwise.lineage import checkpointed as checkpointed
+
 #: Name of the internal row key; inputs may carry any other column.
 RID = "__rid"
 
@@ -18,14 +19,6 @@ def row_key(doc_id: str, text: str) -> Column:
     return F.unhex(F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("n")), F.lit("|"), F.coalesce(F.col(text), F.lit("")))))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder in spark.checkpoint.dir; a folder of our own only where that is unset."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="hopwise-"))
-    return df.checkpoint()
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

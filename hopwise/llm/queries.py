@@ -7,12 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from hopwise.llm.bpe import bpe_digests
-from hopwise.llm.common import table
+from hopwise.llm.common import RID, table
 from hopwise.llm.exact_dedup import exact_dedup
+from hopwise.llm.lines import MIN_WORDS, repeated_units
+from hopwise.llm.packing import packed
 from hopwise.llm.quality import factor_scores, fit_factor_machine, fit_ngram_model, quality_rules
 from hopwise.llm.repeats import remove_repeats
 from hopwise.llm.sharding import SEED, SHARDS, interleaved_shards
 from hopwise.llm.simhash import near_duplicates
+from hopwise.llm.wrapper import extract_main_text
+
+
+def op1_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
 
 
 def op2_suffix_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +35,10 @@ def op4_pivot_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op5_bounded_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
+
+
 def op6_stratified_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interleaved_shards(table(spark, sf_dir, "documents"))
 
@@ -41,17 +52,24 @@ def op8_factor_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return factor_scores(docs, fit_factor_machine(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_units(table(spark, sf_dir, "documents")).drop(RID)
+
+
 def op10_tree_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_wrapper_induction": op1_wrapper_induction,
     "op2_suffix_intervals": op2_suffix_intervals,
     "op3_hashed_ngram_rules": op3_hashed_ngram_rules,
     "op4_pivot_simhash": op4_pivot_simhash,
+    "op5_bounded_packing": op5_bounded_packing,
     "op6_stratified_sharding": op6_stratified_sharding,
     "op7_streaming_bpe": op7_streaming_bpe,
     "op8_factor_machine": op8_factor_machine,
+    "op9_line_dedup": op9_line_dedup,
     "op10_tree_merge_dedup": op10_tree_merge_dedup,
 }
 
@@ -75,6 +93,22 @@ SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS
 FROM p
 """
 
+_OP9 = rf"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+u AS (
+  SELECT doc_id, unit, l[unit + 1] AS line, coalesce(list_sum(list_transform(l[1:unit], lambda x: length(x) + 1)), 0)::BIGINT AS start
+  FROM (SELECT doc_id, l, unnest(range(len(l))) AS unit FROM d)),
+n AS (
+  SELECT doc_id, unit, start, start + length(line) AS "end",
+    trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')) AS s FROM u),
+h AS (SELECT *, len(string_split(s, ' ')) AS n_words, md5(s) AS digest FROM n WHERE len(string_split(s, ' ')) >= {MIN_WORDS}),
+f AS (
+  SELECT doc_id, unit, start, "end", n_words, digest,
+    first_value(doc_id) OVER w AS first_doc_id, first_value(start) OVER w AS first_start FROM h
+  WINDOW w AS (PARTITION BY digest ORDER BY doc_id, start))
+SELECT * FROM f WHERE doc_id <> first_doc_id OR start <> first_start
+"""
+
 _OP10 = r"""
 WITH d AS (
   SELECT doc_id, coalesce(length(text), 0) AS chars, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS text_sha256 FROM documents),
@@ -85,4 +119,4 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM k
 """
 
 #: What SQL can't express is tested against brute force in tests/llm.
-ORACLE_SQL: dict[str, str] = {"op6_stratified_sharding": _OP6, "op10_tree_merge_dedup": _OP10}
+ORACLE_SQL: dict[str, str] = {"op6_stratified_sharding": _OP6, "op9_line_dedup": _OP9, "op10_tree_merge_dedup": _OP10}

@@ -18,8 +18,8 @@ SEED = 42
 SHINGLE_WORDS = 4
 MAX_BITS = 4
 PIVOTS = 16
-#: The 64 bits in so many blocks: as MAX_BITS of them can differ, KEYED blocks are alike in any link.
-BLOCKS, KEYED = 6, 2
+#: The 64 bits are cut into so many blocks more than may differ, so in any link that many blocks are alike.
+KEYED = 2
 #: Fingerprints of a bucket that one task compares; larger buckets are dealt out as pairs of slices.
 SLICE = 512
 
@@ -44,13 +44,13 @@ def fingerprint(words: list[bytes], k: int = SHINGLE_WORDS, block: int = 1 << 15
     return int.from_bytes(np.packbits(2 * total > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(df: DataFrame, text: str = "text", doc_id: str = "doc_id", keyed: bool = False) -> DataFrame:
+def fingerprints(df: DataFrame, text: str = "text", doc_id: str = "doc_id", keyed: bool = False, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id, fp), with keyed the row's key too: fp is the fingerprint as a signed long."""
     names = [RID] * keyed + ["doc_id", "fp"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows_at_a_time(batches):
-            fp = np.array([fingerprint(x.lower().split()) for x in as_bytes(b["text"])], np.uint64)
+            fp = np.array([fingerprint(x.lower().split(), shingle_words) for x in as_bytes(b["text"])], np.uint64)
             yield pa.RecordBatch.from_arrays([b[n] for n in names[:-1]] + [pa.array(fp.view(np.int64))], names=names)
 
     rows = picked(df, doc_id=F.col(doc_id).cast("long"), text=text)
@@ -65,13 +65,13 @@ def pivots(n: int = PIVOTS) -> np.ndarray:
 
 
 def _block_keys(max_bits: int) -> list[Column]:
-    keyed = BLOCKS - max_bits
-    if keyed < 1:
-        raise ValueError(f"at most {BLOCKS - 1} bits")
-    cuts = [64 * i // BLOCKS for i in range(BLOCKS + 1)]
+    blocks = max_bits + KEYED
+    if not 0 <= max_bits <= 14:
+        raise ValueError("0 to 14 bits")
+    cuts = [64 * i // blocks for i in range(blocks + 1)]
     masks = [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:], strict=False)]
     signed = lambda m: m - (1 << 64) if m >> 63 else m
-    return [F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(signed(sum(some))).cast("long"))) for t, some in enumerate(combinations(masks, keyed))]
+    return [F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(signed(sum(some))).cast("long"))) for t, some in enumerate(combinations(masks, KEYED))]
 
 
 class PivotTable:
@@ -144,7 +144,8 @@ def _links(max_bits: int, small: int = 6):
 def linked_fingerprints(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """(a, b) of distinct fingerprints in fps.fp, enough of the pairs within max_bits to connect all that they connect.
 
-    Two fingerprints within 4 bits agree in at least 2 of 6 blocks, so each goes to 15 buckets, one for each two blocks.
+    Two fingerprints within 4 bits agree in at least 2 of 6 blocks, so each goes to 15 buckets, one for each two blocks;
+    within 6 bits, to 28.
     Lone ones go no further. In a bucket the pivot table discards pairs and the survivors are verified bit by bit.
     Buckets over SLICE are cut into slices by a hash and each two slices are compared in a task of their own.
     """
@@ -160,15 +161,15 @@ def linked_fingerprints(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return dealt.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_links(max_bits), "a long, b long").distinct()
 
 
-def near_duplicates(df: DataFrame, max_bits: int = MAX_BITS, text: str = "text", doc_id: str = "doc_id", keyed: bool = False) -> DataFrame:
+def near_duplicates(df: DataFrame, max_bits: int = MAX_BITS, text: str = "text", doc_id: str = "doc_id", keyed: bool = False, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """One row per input row: doc_id, fingerprint, component_id; with keyed also the row's key and that of its component's first row.
 
-    A-Z is lower-cased, words are ``[^\\x20\\x09-\\x0D]+``, shingles are of four words with repeats; fingerprints link at
+    A-Z is lower-cased, words are ``[^\\x20\\x09-\\x0D]+``, shingles are of shingle_words words with repeats; fingerprints link at
     max_bits or fewer differing bits. component_id is the smallest doc_id that a document reaches. Equal fingerprints are one node, so copies cost nothing beyond their fingerprint.
     Null and empty texts have fingerprint zero and link like any other; a null doc_id comes after all others; repeated
     rows are in one component; an empty table gives an empty result; other columns are not looked at.
     """
-    docs = checkpointed(fingerprints(df, text, doc_id, keyed))
+    docs = checkpointed(fingerprints(df, text, doc_id, keyed, shingle_words))
     key = [F.col(RID).alias("row")] if keyed else []
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), *key)
     fps = checkpointed(docs.groupBy("fp").agg(F.min(first).alias("first")))
@@ -181,7 +182,7 @@ def near_duplicates(df: DataFrame, max_bits: int = MAX_BITS, text: str = "text",
     )
 
 
-def representatives(df: DataFrame, max_bits: int = MAX_BITS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def representatives(df: DataFrame, max_bits: int = MAX_BITS, text: str = "text", doc_id: str = "doc_id", shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """The rows of df with the smallest doc_id of their component, with all their columns."""
-    kept = near_duplicates(df, max_bits, text, doc_id, keyed=True).where(F.col(RID) == F.col("row")).select(RID)
+    kept = near_duplicates(df, max_bits, text, doc_id, True, shingle_words).where(F.col(RID) == F.col("row")).select(RID)
     return only(df, kept, doc_id, text)
