@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hopwise.llm.common import RID, as_bytes, checkpointed, picked, row_key, rows_at_a_time
+from hopwise.llm.common import RID, as_bytes, checkpointed, fresh, picked, row_key, rows_at_a_time
+from hopwise.llm.hashing import mixed, of_ranges, powers, running
 
 #: Bytes that a repeat must have, and bytes of the string that anchors it.
 LENGTH = 200
@@ -18,17 +19,11 @@ ANCHOR = 64
 #: Bytes of text whose anchors are sought at once.
 PIECE_BITS = 20
 #: Distinct segments of one anchor string that a task puts into a suffix array; strings with more are counted window by window.
-ARRAY = 512
+ARRAY = 8192
 
 _U = np.uint64
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(33))) * _U(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> _U(33))) * _U(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> _U(33))
-
-
 class Anchors:
     """Finds anchors: in each string of LENGTH bytes the ANCHOR-byte string of least hash, the leftmost of equals.
 
@@ -36,14 +31,8 @@ class Anchors:
     start in one run; from the first one's start to the last one's end is the anchor's segment.
     """
 
-    BASE = 0x9E3779B97F4A7C15 | 1
-
     def __init__(self, length: int = LENGTH, anchor: int = ANCHOR) -> None:
         self.length, self.anchor = length, anchor
-        n = (1 << PIECE_BITS) + 1
-        self.up = np.cumprod(np.r_[_U(1), np.full(n, self.BASE, _U)], dtype=_U)
-        self.down = np.cumprod(np.r_[_U(1), np.full(n, pow(self.BASE, -1, 1 << 64), _U)], dtype=_U)
-        self.letter = _mixed(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))
 
     def find(self, data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
         """data: texts end to end, at most a piece; size: their bytes. Gives of each anchor: text, place in it, bytes of the segment before and from the anchor on, hash of the anchor string, hash of the segment."""
@@ -51,8 +40,8 @@ class Anchors:
         w = self.length - k + 1
         if n < self.length:
             return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, _U, _U))
-        sums = np.r_[_U(0), np.cumsum(self.letter[data] * self.up[:n], dtype=_U)]
-        h = _mixed((sums[k:] - sums[:-k]) * self.down[: n - k + 1])
+        sums = running(data)
+        h = mixed((sums[k:] - sums[:-k]) * powers(n + 1)[1][: n - k + 1])
         low = _U((1 << PIECE_BITS) - 1)
         m, step = (h & ~low) | np.arange(len(h), dtype=_U), 1
         while 2 * step <= w:
@@ -68,7 +57,7 @@ class Anchors:
         last = np.r_[first[1:], len(a)] - 1 if len(a) else first
         at, lo, hi = a[first], s[first], s[last] + self.length
         left, right = at - lo, hi - at
-        seg = _mixed((sums[hi] - sums[lo]) * self.down[lo] + left.astype(_U) * _U(0xD6E8FEB86659FD93) + right.astype(_U))
+        seg = mixed(of_ranges(sums, lo, hi) + left.astype(_U) * _U(0xD6E8FEB86659FD93) + right.astype(_U))
         begin = np.cumsum(size) - size
         text = np.searchsorted(begin, at, "right") - 1
         text = np.maximum(text, 0)
@@ -358,8 +347,9 @@ def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", le
 
 def trimmed(df: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """df with the repeats taken out of its texts, whole characters only, and n_chars, if it has one, counted anew."""
-    keyed = df.withColumn(RID, row_key(doc_id, text))
-    spans = Repeats(picked(df, doc_id=doc_id, text=text).select(row_key("doc_id", "text").alias(RID), "text"), length, anchor).spans()
+    key, said = fresh(df, RID), fresh(df, "__spans")
+    rows = picked(df, doc_id=doc_id, text=text)
+    spans = Repeats(rows.select(row_key("doc_id", "text").alias(RID), "text"), length, anchor).spans().toDF(key, said)
     at = df.columns.index(text)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,5 +359,6 @@ def trimmed(df: DataFrame, text: str = "text", doc_id: str = "doc_id", length: i
             cols = [pa.array(new, pa.string()) if i == at else c for i, c in enumerate(b.columns[:-1])]
             yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:-1])
 
-    out = keyed.join(spans, RID, "left").select(*[keyed[f"`{c}`"] for c in df.columns], spans["spans"].alias("__spans")).mapInArrow(run, df.schema)
-    return out.withColumn("n_chars", F.coalesce(F.length(text), F.lit(0)).cast(df.schema["n_chars"].dataType)) if "n_chars" in df.columns else out
+    joined = df.withColumn(key, row_key(doc_id, text)).join(spans, key, "left").drop(key)
+    out = joined.mapInArrow(run, df.schema)
+    return out.withColumn("n_chars", F.coalesce(F.length(f"`{text}`"), F.lit(0)).cast(df.schema["n_chars"].dataType)) if "n_chars" in df.columns else out
