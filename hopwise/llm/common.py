@@ -16,7 +16,7 @@ RID = "__rid"
 
 def row_key(doc_id: str, text: str) -> Column:
     """128 bits of doc_id and text. Unlike a row number it stays the same when a lost executor's files are split anew; rows alike in both share it."""
-    return F.unhex(F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("n")), F.lit("|"), F.coalesce(F.col(text), F.lit("")))))
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("n")), F.lit("|"), F.coalesce(F.col(f"`{text}`"), F.lit("")))))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,9 +28,18 @@ def picked(df: DataFrame, **columns: str | Column) -> DataFrame:
     return df.select(*[(F.col(f"`{c}`") if isinstance(c, str) else c).alias(n) for n, c in columns.items()])
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, or one like it that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def only(df: DataFrame, kept: DataFrame, doc_id: str, text: str) -> DataFrame:
     """The rows of df whose key is in kept, with all their columns; of rows with the same key one."""
-    return df.withColumn(RID, row_key(doc_id, text)).join(kept, RID, "left_semi").dropDuplicates([RID]).drop(RID)
+    key = fresh(df, RID)
+    return df.withColumn(key, row_key(doc_id, text)).join(kept.withColumnRenamed(RID, key), key, "left_semi").dropDuplicates([key]).drop(key)
 
 
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hopwise.llm.common import RID, as_bytes, picked, row_key, rows_at_a_time
+from hopwise.llm.common import RID, as_bytes, fresh, picked, row_key, rows_at_a_time
 
 #: Units with fewer words repeat by chance and stay.
 MIN_WORDS = 16
@@ -80,12 +80,15 @@ def repeated_units(df: DataFrame, text: str = "text", doc_id: str = "doc_id", mi
 
 def without_repeated_units(df: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = MIN_WORDS, paragraphs: bool = False) -> DataFrame:
     """df with the repeated units taken out of its texts, and removed_spans, their [start, end) in the original text."""
-    gone = repeated_units(df, text, doc_id, min_words, paragraphs).groupBy(RID).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed_spans"))
-    keyed = df.withColumn(RID, row_key(doc_id, text)).join(gone, RID, "left").drop(RID)
+    key, said = fresh(df, RID), fresh(df, "removed_spans")
+    gone = repeated_units(df, text, doc_id, min_words, paragraphs).groupBy(F.col(RID).alias(key)).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias(said))
+    keyed = df.withColumn(key, row_key(doc_id, text)).join(gone, key, "left").drop(key)
+    body = F.col(f"`{text}`")
+    piece = lambda at, n: F.substring(body, (at + 1).cast("int"), n.cast("int"))
     cut = F.aggregate(
-        "removed_spans",
+        said,
         F.struct(F.lit("").alias("kept"), F.lit(0).cast("long").alias("at")),
-        lambda a, s: F.struct(F.concat(a["kept"], F.substring(F.col(text), (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int"))).alias("kept"), F.least(s["end"] + 1, F.length(text).cast("long")).alias("at")),
-        lambda a: F.concat(a["kept"], F.substring(F.col(text), (a["at"] + 1).cast("int"), F.length(text))),
+        lambda a, s: F.struct(F.concat(a["kept"], piece(a["at"], s["start"] - a["at"])).alias("kept"), F.least(s["end"] + 1, F.length(body).cast("long")).alias("at")),
+        lambda a: F.concat(a["kept"], piece(a["at"], F.length(body))),
     )
-    return keyed.withColumn(text, F.when(F.col("removed_spans").isNull(), F.col(text)).otherwise(cut))
+    return keyed.withColumn(text, F.when(F.col(said).isNull(), body).otherwise(cut))
