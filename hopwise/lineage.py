@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -13,3 +14,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="hopwise-"))
     return df.checkpoint()
+
+
+def released(spark: SparkSession) -> None:
+    """After a checkpoint: let Spark's cleaner, which waits for collections of garbage, delete the shuffle files that only dropped frames refer to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
