@@ -43,8 +43,8 @@ def result_lines(rows: DataFrame, one_based: bool = False, bound: float | None =
     return typed.select("idx", F.concat_ws(" ", *parts).alias("line"))
 
 
-def write_results(rows: DataFrame, path: str, one_based: bool = False, bound: float | None = None, single: bool = True) -> None:
-    """Text in the order of the queries; single: one part file, for readers of one file. As many parts as the sort makes otherwise."""
+def write_results(rows: DataFrame, path: str, one_based: bool = False, bound: float | None = None, single: bool = False) -> None:
+    """Text in the order of the queries, in as many part files as the sort makes, to be read in the order of their names; single: in one, for readers of one file."""
     lines = result_lines(rows, one_based, bound).orderBy("idx").select("line")
     (lines.coalesce(1) if single else lines).write.mode("overwrite").text(path)
 
