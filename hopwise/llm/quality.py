@@ -2,22 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hopwise.llm.common import as_bytes, picked, rows_at_a_time
+from hopwise.llm.hashing import word_hashes
 
 #: Labelled rows that a model is fitted on: so many of each class at most, the first ones by a seeded hash of doc_id.
 SAMPLE_PER_CLASS = 1000
 SEED = 7
-#: Words that a worker remembers.
-REMEMBERED = 300_000
 
 MIN_WORDS = 20
 MAX_REPEATED_PERCENT = 30
@@ -29,31 +27,7 @@ PREDICT_AT = 0.3
 
 _SYMBOLS = np.frombuffer(b"#*$%&|<>", np.uint8)
 _BLANKS = np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8)
-
-
-class Lexicon(dict):
-    """Word -> position in arrays of what is known of it; emptied between texts once it is full."""
-
-    def __init__(self, known: Callable[[bytes], tuple], types: tuple, most: int = REMEMBERED) -> None:
-        self.known, self.most = known, most
-        self.arrays = [np.zeros(1024, t) for t in types]
-
-    def __missing__(self, word: bytes) -> int:
-        at = len(self)
-        if at == len(self.arrays[0]):
-            self.arrays = [np.concatenate([a, np.zeros_like(a)]) for a in self.arrays]
-        for a, v in zip(self.arrays, self.known(word), strict=True):
-            a[at] = v
-        self[word] = at
-        return at
-
-    def of(self, words: list[bytes]) -> list[np.ndarray]:
-        """One array for each thing known, in the order of the words."""
-        if len(self) > self.most:
-            self.clear()
-            self.arrays = [a[:1024].copy() for a in self.arrays]
-        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        return [a[at] for a in self.arrays]
+_U = np.uint64
 
 
 def repeated_words(h: np.ndarray, window: int = WINDOW) -> int:
@@ -61,9 +35,9 @@ def repeated_words(h: np.ndarray, window: int = WINDOW) -> int:
     n = len(h) - window + 1
     if n < 2:
         return 0
-    w = np.zeros(n, np.uint64)
+    w = np.zeros(n, _U)
     for i in range(window):
-        w = w * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n]
+        w = w * _U(0x9E3779B97F4A7C15) + h[i : i + n]
     s = np.sort(w)
     twice = s[1:][s[1:] == s[:-1]]
     if not len(twice):
@@ -108,43 +82,35 @@ class NgramModel:
 
     BITS = 17
     SIZES = (3, 4)
+    #: Words, pairs of words, and n-grams of each size have their own weights.
+    FAMILIES = 2 + len(SIZES)
 
     def __init__(self) -> None:
-        self.w = np.zeros(3 << self.BITS, np.float32)
+        self.w = np.zeros(self.FAMILIES << self.BITS, np.float32)
         self.bias, self.slope, self.shift = 0.0, 1.0, 20.0  # knows nothing: keeps everything
 
-    def grams(self, word: bytes) -> list[int]:
-        s = f"^{word.decode('utf-8', 'replace')}$"
-        mask = (1 << self.BITS) - 1
-        return [crc32(s[i : i + n].encode()) & mask for n in self.SIZES for i in range(len(s) - n + 1)]
-
-    def pairs(self, h: np.ndarray) -> np.ndarray:
-        return ((h[:-1] * np.uint64(0xD6E8FEB86659FD93) + h[1:]) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.BITS)).astype(np.int64)
-
-    def known(self, word: bytes) -> tuple:
-        """Hash, weight of the word, weights of its n-grams and how many they are."""
-        h = xxhash.xxh64_intdigest(word)
-        g = self.grams(word)
-        return h, self.w[h & ((1 << self.BITS) - 1)], self.w[np.array(g, np.int64) + (2 << self.BITS)].sum(), len(g)
-
-    def lexicon(self) -> Lexicon:
-        return Lexicon(self.known, (np.uint64, np.float32, np.float32, np.int64))
-
-    def probability(self, h: np.ndarray, word: np.ndarray, gram: np.ndarray, grams: np.ndarray) -> float:
-        z = self.bias
-        if len(h):
-            z += word.mean(dtype=np.float64) + gram.sum(dtype=np.float64) / max(1, grams.sum())
-        if len(h) > 1:
-            z += self.w[self.pairs(h) + (1 << self.BITS)].mean(dtype=np.float64)
+    def places(self, text: bytes, h: np.ndarray) -> list[np.ndarray]:
+        """Where the weights of each family's members are, in the order of the text; h: its words' hashes."""
+        out = [h >> _U(64 - self.BITS)]
+        out.append((h[:-1] * _U(0xD6E8FEB86659FD93) + h[1:]) * _U(0x9E3779B97F4A7C15) >> _U(64 - self.BITS))
+        c = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(np.uint32)
+        for n in self.SIZES:
+            g = np.zeros(max(0, len(c) - n + 1), np.uint32)
+            for i in range(n):
+                g = g * np.uint32(0x01000193) + c[i : i + len(g)]
+            out.append(g * np.uint32(0x9E3779B1) >> np.uint32(32 - self.BITS))
+        return [p.astype(np.int64) + (i << self.BITS) for i, p in enumerate(out)]
+
+    def probability(self, text: bytes, h: np.ndarray) -> float:
+        z = self.bias + sum(self.w[p].mean(dtype=np.float64) for p in self.places(text, h) if len(p))
         return float(1 / (1 + np.exp(-np.clip(self.slope * z + self.shift, -40, 40))))
 
-    def features(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        h = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
-        parts = [(h & np.uint64((1 << self.BITS) - 1)).astype(np.int64), self.pairs(h), np.array([g for w in words for g in self.grams(w)], np.int64)]
-        found = [np.unique(p + (i << self.BITS), return_counts=True) + (len(p),) for i, p in enumerate(parts)]
+    def features(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Each member's place and its share of its family."""
+        found = [(*np.unique(p, return_counts=True), len(p)) for p in self.places(text, word_hashes(np.frombuffer(text, np.uint8)))]
         return np.concatenate([i for i, _, _ in found]), np.concatenate([(c / max(1, n)).astype(np.float32) for _, c, n in found])
 
-    def fit(self, rows: list[tuple[list[bytes], int]], counts: dict[int, int], steps: int = 60, rate: float = 1.0, decay: float = 1e-6) -> NgramModel:
+    def fit(self, rows: list[tuple[bytes, int]], counts: dict[int, int], steps: int = 60, rate: float = 1.0, decay: float = 1e-6) -> NgramModel:
         """Every fourth row is left for the calibration, in which each class weighs as much as it has rows among all labels."""
         if len({y for _, y in rows}) < 2:
             return self
@@ -152,7 +118,7 @@ class NgramModel:
         if min(len({y for _, y in train}), len({y for _, y in held})) < 2:
             train = held = rows
         self.shift = 0.0
-        x = [self.features(w) for w, _ in train]
+        x = [self.features(t) for t, _ in train]
         at, value = np.concatenate([i for i, _ in x]), np.concatenate([v for _, v in x])
         doc = np.repeat(np.arange(len(x)), [len(i) for i, _ in x])
         del x
@@ -173,10 +139,9 @@ class NgramModel:
         self._calibrate(held, counts)
         return self
 
-    def _calibrate(self, held: list[tuple[list[bytes], int]], counts: dict[int, int]) -> None:
-        lex = self.lexicon()
+    def _calibrate(self, held: list[tuple[bytes, int]], counts: dict[int, int]) -> None:
         self.slope, self.shift = 1.0, 0.0
-        p = np.array([self.probability(*lex.of(w)) for w, _ in held])
+        p = np.array([self.probability(t, word_hashes(np.frombuffer(t, np.uint8))) for t, _ in held])
         z, y = np.log(np.clip(p, 1e-12, 1) / np.clip(1 - p, 1e-12, 1)), np.array([y for _, y in held], np.float64)
         n1, n0 = y.sum(), (1 - y).sum()
         weight = np.where(y == 1, counts.get(1, 1) / n1, counts.get(0, 1) / n0)
@@ -195,16 +160,15 @@ def fit_ngram_model(docs: DataFrame, labels: DataFrame, text: str = "text", doc_
     rows, counts = labelled_sample(
         picked(docs, doc_id=doc_id, text=text, n_chars=F.lit(0)), picked(labels, doc_id=doc_id, label=label), per_class
     )
-    return NgramModel().fit([((t or "").encode().split(), y) for t, _, y in rows], counts)
+    return NgramModel().fit([((t or "").encode(), y) for t, _, y in rows], counts)
 
 
-def _ruled(text: bytes, model: NgramModel, lex: Lexicon, keep_at: float) -> tuple:
-    words = text.split()
-    known = lex.of(words)
-    again = repeated_words(known[0])
-    failed = len(words) < MIN_WORDS or 100 * again > MAX_REPEATED_PERCENT * len(words)
-    p = model.probability(*known)
-    return len(words), *byte_counts(text), duplicate_lines(text), again, failed, p, not failed and p >= keep_at
+def _ruled(text: bytes, model: NgramModel, keep_at: float) -> tuple:
+    h = word_hashes(np.frombuffer(text, np.uint8))
+    again = repeated_words(h)
+    failed = len(h) < MIN_WORDS or 100 * again > MAX_REPEATED_PERCENT * len(h)
+    p = model.probability(text, h)
+    return len(h), *byte_counts(text), duplicate_lines(text), again, failed, p, not failed and p >= keep_at
 
 
 def quality_rules(df: DataFrame, model: NgramModel, text: str = "text", doc_id: str = "doc_id", keep_at: float = KEEP_AT) -> DataFrame:
@@ -220,9 +184,8 @@ def quality_rules(df: DataFrame, model: NgramModel, text: str = "text", doc_id:
     types = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex = model.lexicon()
         for b in rows_at_a_time(batches):
-            out = [_ruled(t, model, lex, keep_at) for t in as_bytes(b["text"])]
+            out = [_ruled(t, model, keep_at) for t in as_bytes(b["text"])]
             yield pa.RecordBatch.from_arrays([b["doc_id"], *[pa.array([x[i] for x in out], t) for i, t in enumerate(types)]], names=names)
 
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -233,9 +196,8 @@ def rule_keepers(df: DataFrame, model: NgramModel, text: str = "text", keep_at:
     """The rows of df that the rules keep, with all their columns, in one pass."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex = model.lexicon()
         for b in rows_at_a_time(batches):
-            yield b.filter(pa.array([_ruled(t, model, lex, keep_at)[-1] for t in as_bytes(b[at])], pa.bool_()))
+            yield b.filter(pa.array([_ruled(t, model, keep_at)[-1] for t in as_bytes(b[at])], pa.bool_()))
 
     at = df.columns.index(text)
     return df.mapInArrow(run, df.schema)
@@ -255,12 +217,6 @@ class FactorMachine:
         self.v = np.random.default_rng(SEED).normal(0, 0.05, (n, self.FACTORS)).astype(np.float32)
         self.square = np.zeros(n, np.float32)
 
-    def known(self, word: bytes) -> tuple:
-        return (xxhash.xxh32_intdigest(word, SEED) & ((1 << self.BITS) - 1),)
-
-    def lexicon(self) -> Lexicon:
-        return Lexicon(self.known, (np.int64,))
-
     def structure(self, text: bytes, n_words: int, n_distinct: int, n_chars: int) -> np.ndarray:
         """One feature for each statistic: the bin that it falls in. The last is metadata."""
         by = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
@@ -276,10 +232,11 @@ class FactorMachine:
         ]
         return (1 << self.BITS) + np.arange(self.STATS) * self.BINS + np.array(bins)
 
-    def features(self, lex: Lexicon, text: bytes, n_chars: int) -> tuple[np.ndarray, np.ndarray]:
-        words = text.split()
-        at = np.unique(lex.of(words)[0])
-        stats = self.structure(text, len(words), len(at), n_chars)
+    def features(self, text: bytes, n_chars: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and values: the distinct hashed words, then the statistics; each kind has length 1."""
+        h = word_hashes(np.frombuffer(text, np.uint8))
+        at = np.unique(h >> _U(64 - self.BITS)).astype(np.int64)
+        stats = self.structure(text, len(h), len(at), n_chars)
         return np.concatenate([at, stats]), np.concatenate([np.full(len(at), 1 / np.sqrt(max(1, len(at)))), np.full(len(stats), 1 / np.sqrt(len(stats)))])
 
     def score(self, at: np.ndarray, x: np.ndarray) -> float:
@@ -292,8 +249,7 @@ class FactorMachine:
         y = np.array([r[2] for r in rows], np.float64)
         if len(set(y)) < 2:
             return self
-        lex = self.lexicon()
-        x = [self.features(lex, t, n) for t, n, _ in rows]
+        x = [self.features(t, n) for t, n, _ in rows]
         share = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y).mean())
         rng, n, k = np.random.default_rng(SEED), len(self.w), self.FACTORS
         p = np.zeros((n, k + 1))
@@ -348,9 +304,8 @@ def factor_scores(df: DataFrame, model: FactorMachine, text: str = "text", doc_i
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex = model.lexicon()
         for b in rows_at_a_time(batches):
-            score = [model.score(*model.features(lex, t, n)) for t, n in zip(as_bytes(b["text"]), b["n_chars"].to_pylist(), strict=True)]
+            score = [model.score(*model.features(t, n)) for t, n in zip(as_bytes(b["text"]), b["n_chars"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [b["doc_id"], b["held_out"], pa.array(score, pa.float64()), pa.array([int(s >= predict_at) for s in score], pa.int32())],
                 names=["doc_id", "held_out", "score", "predicted"],
