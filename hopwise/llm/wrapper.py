@@ -35,6 +35,14 @@ MARKS = frozenset(
     "replies reply respond responses reviews search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar widget widgets "
     "complementary contentinfo alert alertdialog".split()
 )
+# Those of them that often hold article elements which are not the article.
+OTHERS = frozenset("comment comments commentlist discussion disqus feedback promo promoted recommend recommended related replies reply respond responses reviews sidebar sponsored".split())
+# Words that may stand beside those in a name without changing what it says; "has-sidebar" or "comments-open" say something else.
+BESIDE = frozenset(
+    "area article bar bars blog body block blocks bottom box btn button buttons center col column container content entry fixed form global group icon icons inline inner item items left link links "
+    "list lists local main meta mobile module nav news outer page panel post posts primary reader readers right row secondary section site sticky story text title top unit user users view wrap wrapper wp".split()
+)
+
 # Elements whose start ends an open element, up to the given containers.
 _ENDS = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 
@@ -44,7 +52,7 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
 
 class Node:
-    """An element: its label is its tag with its classes. Children are nodes and runs of text, in order."""
+    """An element: its label is its tag with its classes; marks say whether it is hidden, named as something to drop, or the main part. Children are nodes and runs of text, in order."""
 
     __slots__ = ("tag", "label", "marks", "children")
 
@@ -55,18 +63,32 @@ class Node:
 def _open(tag: str, attributes: str) -> Node:
     if not attributes.strip():
         return Node(tag, tag, frozenset())
-    words, hidden, label = [], False, tag
+    marks, label = set(), tag
     for name, a, b, c in _HINT.findall(attributes):
         name, value = name.lower(), html.unescape(a or b or c)
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
-            hidden = True
+            marks.add("hidden")
         elif name in ("class", "id", "role"):
-            words += [w.lower() for w in _WORD.findall(value)]
+            for said in value.split():
+                words = {w.lower() for w in _WORD.findall(said) if not w.isdigit()}
+                if words & MARKS and words <= MARKS | BESIDE:
+                    marks |= {"dropped", "others"} if words & OTHERS else {"dropped"}
             if name == "class":
                 label = ".".join([tag, *sorted(set(value.split()))])
             elif name == "role" and value.lower() == "main":
-                words.append("rolemain")
-    return Node(tag, label, frozenset(words) | ({"hidden"} if hidden else set()))
+                marks.add("main")
+    return Node(tag, label, frozenset(marks))
+
+
+def _holds_article(node: Node) -> bool:
+    return any(not isinstance(c, str) and (c.tag in ("article", "main") or "main" in c.marks or _holds_article(c)) for c in node.children)
+
+
+def _dropped(node: Node, inside: bool) -> bool:
+    """Whether tag or marks rule the element out. A mark does not if the article is in it, and it says nothing of other articles."""
+    if node.tag in DROPPED or node.tag in VOID or "hidden" in node.marks or (node.tag == "header" and not inside):
+        return True
+    return "dropped" in node.marks and node.tag not in ("html", "body", "main") and (inside or "others" in node.marks or not _holds_article(node))
 
 
 def parse(source: str) -> Node:
@@ -144,12 +166,12 @@ def blocks(node: Node, path: str = "", inside: bool = False) -> Iterator[tuple[s
                 run.append(c)
             elif c.tag == "br":
                 run.append(" ")
-            elif c.tag in DROPPED or c.tag in VOID or (c.tag == "header" and not inside) or ((c.marks & MARKS or "hidden" in c.marks) and c.tag not in ("html", "body", "main")):
+            elif _dropped(c, inside):
                 if c.tag in BLOCK:
                     yield from said()
             elif c.tag in BLOCK:
                 yield from said()
-                yield from blocks(c, f"{path}/{c.label}", inside or c.tag in ("article", "main") or "rolemain" in c.marks)
+                yield from blocks(c, f"{path}/{c.label}", inside or c.tag in ("article", "main") or "main" in c.marks)
             else:
                 yield from walk(c)
 

@@ -23,6 +23,13 @@ def test_page_without_an_article_and_with_broken_markup():
     assert len(text("<div>" * 300 + "deep")) == 4
 
 
+def test_names_drop_what_they_name_and_no_more():
+    assert text("<div class='layout has-sidebar'><article class='post comments-open'><div class='article-body with-ads'>yes</div><div class='post-share-buttons'>no</div></article></div>") == "yes"
+    assert text("<article>yes</article><article class=comment>no</article><div id='user-comments'><article>no</article></div>") == "yes"
+    assert text("<div class='page-banner'><main>yes</main></div><div class=banner>no</div>") == "yes"
+    assert text("<div class=shadow>yes</div><div class='loading'>too</div><div class='ad ad-300'>no</div><div id=cookieNotice>no</div>") == "yes\ntoo"
+
+
 def test_matching_keeps_order_and_labels():
     a = skeleton(parse("<div><p>1</p><ul><li>x</ul><table></table></div>"))
     b = skeleton(parse("<div><p>2</p><table></table></div>"))
