@@ -158,3 +158,19 @@ def check_file(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
         raise FileNotFoundError(path)
+
+
+def read_plot_rows(spark: SparkSession, path: str, counts: str | None = None, n: int = 0) -> DataFrame:
+    """idx, v, w, distance (null for -1), flag, score of written results of formats 3 and 5, and count from a file with one on each line.
+
+    n: rows to read, 0 for all. Counts that are fewer than the rows are left out.
+    """
+    lines = numbered_lines(spark, path)
+    lines = lines.where(F.col("idx") < n) if n > 0 else lines
+    number = lambda i: F.get("f", F.lit(i)).try_cast("double")
+    _checked(lines, 5, path, number(2).isNull(), number(4).isNull())
+    rows = lines.select("idx", _long(0).alias("v"), _long(1).alias("w"), F.when(number(2) >= 0, number(2)).alias("distance"), (_long(3) != 0).alias("flag"), number(4).alias("score"))
+    if counts is None:
+        return rows
+    each = numbered_lines(spark, counts).select("idx", _long(0).alias("count"))
+    return rows.join(each, "idx") if each.count() >= rows.count() else rows

@@ -96,3 +96,13 @@ def test_coverage_and_values(spark):
     one = O.coverage(O.vertex_scores(rows, 1000), rows).first()
     assert (one["covered"], one["n_vertices"]) == (10, 10)
     assert tuple(O.query_values(rows).first()) == (0.99, 10, 9)
+
+
+def test_plot_rows_and_their_counts(spark, write):
+    from hopwise.sources.readers import read_plot_rows
+
+    p = write("r", "0 1 1500 1 0.5", "1 2 -1 0 0.7", "2 3 9 0 0.1")
+    full = read_plot_rows(spark, p, write("c", "3", "20", "30"))
+    assert sorted(tuple(r) for r in O.plot_points(full, 10).select("idx", "distance", "direct", "connected").collect()) == [(1, -1.0, False, False), (2, 9.0, False, True)]
+    assert "count" not in read_plot_rows(spark, p, write("d", "3")).columns
+    assert read_plot_rows(spark, p, n=2).count() == 2
