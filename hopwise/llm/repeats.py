@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hopwise.llm.common import RID, as_bytes, checkpointed, fresh, picked, row_key, rows_at_a_time
+from hopwise.llm.common import RID, as_bytes, checkpointed, fresh, picked, released, row_key, rows_at_a_time
 from hopwise.llm.hashing import mixed, of_ranges, powers, running
 
 #: Bytes that a repeat must have, and bytes of the string that anchors it.
@@ -240,6 +240,8 @@ class Repeats:
         self.rows, self.length = rows, length
         twice = anchor_rows(rows.select("text"), length, anchor, False).groupBy("k").count().where("count > 1").select("k")
         self.found = checkpointed(anchor_rows(rows, length, anchor, True).join(twice, "k"))
+        del twice
+        released(rows.sparkSession)  # the anchors of all texts are the largest exchange
         self.segments = self.found.groupBy("k", "seg").agg(F.count("*").alias("n"), F.min(F.struct(RID, "pos", "before", "after")).alias("one"))
 
     def contexts(self, hot: bool) -> DataFrame:
