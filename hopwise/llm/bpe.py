@@ -6,6 +6,7 @@ import codecs
 import hashlib
 import heapq
 import json
+import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -18,13 +19,20 @@ from pyspark.sql import DataFrame
 from hopwise.llm.common import as_bytes, picked, rows_at_a_time
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-#: White-space-separated units whose encoding a worker remembers.
-REMEMBERED = 500_000
+#: Bytes of a word that is encoded at once; longer ones go through the transducer.
+SHORT = 24
+#: White-space-separated units and words of which a worker remembers the ids.
+UNITS, WORDS = 600_000, 1_200_000
 
 #: White space as the tokenizers library's patterns know it.
 _SPACE = r"\t-\r \x85\xa0  -     　"
 
 
+#: Bits for a token id below a merge's rank, and a rank that no merge has.
+_MADE = 24
+_NONE = 1 << 60
+
+
 def byte_alphabet() -> list[str]:
     """The character that stands for each byte: itself if it is printable Latin-1, else the next one from U+0100 on."""
     plain = {b for b in range(256) if chr(b).isprintable() and not chr(b).isspace()}
@@ -77,7 +85,8 @@ class Encoder:
         merges = [(self.vocab[a], self.vocab[b], self.vocab[a + b]) for a, b in pairs]
         added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.size = max([*self.vocab.values(), *added.values()]) + 1
-        self.rank = {a * self.size + b: (r, made) for r, (a, b, made) in reversed(list(enumerate(merges)))}
+        #: Pair -> rank of its merge, with what it makes in the lower bits.
+        self.rank = {a * self.size + b: r << _MADE | made for r, (a, b, made) in reversed(list(enumerate(merges)))}
         self.text = [""] * self.size
         for t, i in [*self.vocab.items(), *added.items()]:
             self.text[i] = t
@@ -125,47 +134,44 @@ class Encoder:
         return self._few(symbols) if len(symbols) <= 24 else self._many(symbols)
 
     def _few(self, s: list[int]) -> list[int]:
-        rank, size, none = self.rank, self.size, (1 << 60, 0)
-        options = [rank.get(a * size + b, none) for a, b in zip(s, s[1:], strict=False)]
-        while options:
-            best = min(options)
-            if best is none:
-                break
-            at = options.index(best)
-            s[at : at + 2] = [made] = best[1:]
+        get, size = self.rank.get, self.size
+        options = [get(a * size + b, _NONE) for a, b in zip(s, s[1:], strict=False)]
+        while options and (best := min(options)) != _NONE:
+            at, made = options.index(best), best & ((1 << _MADE) - 1)
+            s[at : at + 2] = (made,)
             del options[at]
             if at:
-                options[at - 1] = rank.get(s[at - 1] * size + made, none)
+                options[at - 1] = get(s[at - 1] * size + made, _NONE)
             if at < len(options):
-                options[at] = rank.get(made * size + s[at + 1], none)
+                options[at] = get(made * size + s[at + 1], _NONE)
         return s
 
     def _many(self, s: list[int]) -> list[int]:
-        rank, size, n = self.rank, self.size, len(s)
+        get, size, n = self.rank.get, self.size, len(s)
         after, before = [*range(1, n), -1], [*range(-1, n - 1)]
-        heap = [(r[0], i, r[1], a, b) for i, (a, b) in enumerate(zip(s, s[1:], strict=False)) if (r := rank.get(a * size + b))]
+        heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(s, s[1:], strict=False)) if (r := get(a * size + b)) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, made, a, b = heapq.heappop(heap)
+            r, i, a, b = heapq.heappop(heap)
             j = after[i]
             if j < 0 or s[i] != a or s[j] != b:
                 continue
-            s[i], s[j] = made, -1
+            s[i], s[j] = made, _ = r & ((1 << _MADE) - 1), -1
             after[i] = k = after[j]
             after[j] = -1
             if k >= 0:
                 before[k] = i
-                if r := rank.get(made * size + s[k]):
-                    heapq.heappush(heap, (r[0], i, r[1], made, s[k]))
-            if (h := before[i]) >= 0 and (r := rank.get(s[h] * size + made)):
-                heapq.heappush(heap, (r[0], h, r[1], s[h], made))
+                if (r := get(made * size + s[k])) is not None:
+                    heapq.heappush(heap, (r, i, made, s[k]))
+            if (h := before[i]) >= 0 and (r := get(s[h] * size + made)) is not None:
+                heapq.heappush(heap, (r, h, s[h], made))
         return [x for x in s if x >= 0]
 
     def word(self, raw: bytes) -> list[int]:
         """Ids of one pattern match, emitted as they become stable; only lookahead and block symbols are held."""
         if self.whole and (i := self.vocab.get("".join(self.text[self.byte[b]] for b in raw) + self.suffix)) is not None:
             return [i]
-        if len(raw) <= 24:
+        if len(raw) <= SHORT:
             return self._few([self.byte[b] for b in raw[:-1]] + [self.last_byte[raw[-1]]])
         t, out = Transducer(self), []
         for at in range(0, len(raw) - 1, Transducer.BLOCK):
@@ -184,8 +190,7 @@ class Encoder:
         if at < len(text):
             yield text[at:]
 
-    def encode(self, text: str, words: dict[bytes, list[int]] | None = None) -> list[int]:
-        """words: what is known of pattern matches."""
+    def encode(self, text: str) -> list[int]:
         out: list[int] = []
         for part in self.segments(text):
             if isinstance(part, int):
@@ -195,8 +200,7 @@ class Encoder:
                 part = step(part)
             for m in self.split.finditer(part):
                 if m[0]:
-                    raw = m[0].encode("utf-8")
-                    out += self.word(raw) if words is None else words[raw]
+                    out += self.word(m[0].encode("utf-8"))
         return out
 
 
@@ -255,7 +259,7 @@ def encoder_of(source: str) -> Encoder:
 class Remembered(dict):
     """Key -> what `made` gives for it. When full it becomes the older half of the memory, from which keys met again come back; so memory is bounded and common keys stay."""
 
-    def __init__(self, made, most: int = REMEMBERED) -> None:
+    def __init__(self, made, most: int) -> None:
         self.made, self.most, self.older = made, most // 2, {}
 
     def __missing__(self, key: bytes):
@@ -269,26 +273,49 @@ class Remembered(dict):
             self[key] = value
         return value
 
+    def of(self, keys: list) -> list:
+        got, i = [*map(self.get, keys)], -1
+        for _ in range(got.count(None)):
+            i = got.index(None, i + 1)
+            got[i] = self[keys[i]]
+        return got
+
+
+def packed_ids(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit numbers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
 
 class UnitEncoder:
-    """Ids of a white-space-free unit. A word of letters is known by itself, so that punctuation and case beside it cost no second merge."""
+    """Packed ids of a white-space-free unit. A word of letters is known by itself, so that punctuation and case beside it cost no second merge."""
 
     def __init__(self, encoder: Encoder) -> None:
         self.encoder = encoder
-        self.words = Remembered(encoder.word)
-        self.special = tuple({t.encode()[:2] for t in encoder.added})
-        #: No normalizer does more to ASCII without white space than lower-case it, and letters are one match.
-        self.simple = set(encoder.kinds) <= {"NFC", "NFD", "NFKC", "NFKD", "Lowercase", "Space"} and encoder.split.findall("abyz") == ["abyz"]
+        self.words = Remembered(lambda raw: packed_ids(encoder.word(raw)), WORDS)
+        #: Finds the first bytes of added tokens.
+        self.hinted = regex.compile(b"[" + b"".join({b"\\" + t.encode()[:1] for t in encoder.added}) + b"]").search if encoder.added else lambda _: None
+        #: All that is done to a unit is to compose it and to lower-case it, and letters are one match.
+        self.simple = encoder.kinds == ["NFC", "Space", "Lowercase"] and encoder.split.findall("abyzé") == ["abyzé"]
+        self.form = "NFC"
         self.lower = "Lowercase" in encoder.kinds
 
-    def __call__(self, unit: bytes) -> list[int]:
-        if not self.simple or not unit.isascii() or any([t in unit for t in self.special]):
-            return self.encoder.encode(unit.decode("utf-8", "replace"), self.words)
+    def __call__(self, unit: bytes) -> bytes:
+        if not self.simple or (self.hinted(unit) and self.encoder.specials.search(unit.decode("utf-8", "replace"))):
+            return packed_ids(self.encoder.encode(unit.decode("utf-8", "replace")))
+        if unit.isascii():
+            if self.lower:
+                unit = unit.lower()
+            if unit.isalpha():
+                return self.words[unit]
+            return b"".join([self.words[m.encode()] for m in self.encoder.split.findall(unit.decode())])
+        text = unit.decode("utf-8", "replace")
+        if not unicodedata.is_normalized(self.form, text):
+            text = unicodedata.normalize(self.form, text)
         if self.lower:
-            unit = unit.lower()
-        if unit.isalpha():
-            return self.words[unit]
-        return [i for m in self.encoder.split.findall(unit.decode()) for i in self.words[m.encode()]]
+            text = text.lower() if "\u03a3" not in text else "".join([c.lower() for c in text])  # of all letters only this one looks at its neighbours
+        if text.isalpha():
+            return self.words[text.encode()]
+        return b"".join([self.words[m.encode()] for m in self.encoder.split.findall(text)])
 
 
 def units(text: bytes, block: int = 1 << 20) -> Iterator[list[bytes]]:
@@ -306,16 +333,17 @@ _worker: dict = {}
 
 
 def remembered(source: str, kind: str, made) -> Remembered:
-    """A worker's memory of units, kept from task to task; made: (encoder, ids) -> what is remembered of a unit."""
+    """A worker's memory of units, kept from task to task; made: (encoder, packed ids) -> what is remembered of a unit."""
     key = (hash(source), kind)
     if key not in _worker:
         e = encoder_of(source)
         ids_of = UnitEncoder(e)
-        _worker[key] = Remembered(lambda unit: made(e, ids_of(unit)))
+        _worker[key] = Remembered(lambda unit: made(e, ids_of(unit)), UNITS)
     return _worker[key]
 
 
-def _spelled(e: Encoder, ids: list[int]) -> tuple[int, bytes, bytes]:
+def _spelled(e: Encoder, packed: bytes) -> tuple[int, bytes, bytes]:
+    ids = struct.unpack(f"<{len(packed) // 4}I", packed)
     return len(ids), " ".join(map(str, ids)).encode(), " ".join([e.text[i] for i in ids]).encode()
 
 
@@ -332,7 +360,7 @@ def _digests(e: Encoder, byte_level: bool, text: bytes) -> tuple[int, str, str]:
 def _by_units(known: Remembered, text: bytes) -> tuple[int, str, str]:
     total, ids, back = 0, hashlib.sha256(), hashlib.sha256()
     for block in units(text):
-        got = [x for u in block if (x := known[u])[0]]
+        got = [x for x in known.of(block) if x[0]]
         if got:
             gap = b" " if total else b""
             ids.update(gap + b" ".join([x[1] for x in got]))
