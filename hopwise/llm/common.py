@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hopwise.lineage import checkpointed as checkpointed
-from hopwise.lineage import released as released
 
 #: Name of the internal row key; inputs may carry any other column.
 RID = "__rid"
