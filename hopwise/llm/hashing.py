@@ -10,6 +10,11 @@ _BLANK = np.zeros(256, bool)
 _BLANK[list(b" \t\n\r\x0b\x0c")] = True
 
 
+def blank_bytes(data: np.ndarray) -> np.ndarray:
+    """Which bytes are ASCII white space."""
+    return _BLANK[data]
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Every bit of the result depends on every bit of x."""
     x = (x ^ (x >> _U(33))) * _U(0xFF51AFD7ED558CCD)
@@ -43,7 +48,7 @@ def word_hashes(data: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word, the words being separated by ASCII white space."""
     if not len(data):
         return np.zeros(0, _U)
-    blank = _BLANK[data]
+    blank = blank_bytes(data)
     start = np.flatnonzero(~blank & np.r_[True, blank[:-1]])
     end = np.flatnonzero(~blank & np.r_[blank[1:], True]) + 1
     return mixed(of_ranges(running(data), start, end) + (end - start).astype(_U))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from hopwise.llm.bpe import bpe_digests
 from hopwise.llm.common import RID, table
 from hopwise.llm.exact_dedup import exact_dedup
-from hopwise.llm.lines import MIN_WORDS, repeated_units
+from hopwise.llm.lines import LINES, REACH, repeated_units
 from hopwise.llm.packing import packed
 from hopwise.llm.quality import factor_scores, fit_factor_machine, fit_ngram_model, quality_rules
 from hopwise.llm.repeats import remove_repeats
@@ -94,14 +94,22 @@ FROM p
 """
 
 _OP9 = rf"""
-WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+') AS p FROM documents),
+p AS (SELECT doc_id, unnest(range(len(p))) AS i, unnest(p) AS p FROM d),
+w AS (SELECT doc_id, i, regexp_replace(p, '^[\x20\x09-\x0D]+', '') AS word, sum(length(p)) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS "end" FROM p),
+v AS (SELECT *, "end" - length(word) AS start, ('0x' || md5(word)[1:8])::BIGINT AS v FROM w),
+x AS (SELECT *, (5 * lag(v) OVER (PARTITION BY doc_id ORDER BY i) + 3 * v) % 4294967296 AS x FROM v),
+b AS (
+  SELECT *, i = 0 OR (x < coalesce(min(x) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {REACH} PRECEDING AND 1 PRECEDING), 4294967296)
+    AND x <= coalesce(min(x) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND {REACH} FOLLOWING), 4294967296)) AS begins FROM x),
+c AS (SELECT *, sum(begins::INTEGER) OVER (PARTITION BY doc_id ORDER BY i) AS line FROM b),
+l AS (SELECT doc_id, line, min(start) AS start, max("end") AS "end", count(*) AS n, string_agg(word, ' ' ORDER BY i) AS s FROM c GROUP BY doc_id, line),
 u AS (
-  SELECT doc_id, unit, l[unit + 1] AS line, coalesce(list_sum(list_transform(l[1:unit], lambda x: length(x) + 1)), 0)::BIGINT AS start
-  FROM (SELECT doc_id, l, unnest(range(len(l))) AS unit FROM d)),
-n AS (
-  SELECT doc_id, unit, start, start + length(line) AS "end",
-    trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')) AS s FROM u),
-h AS (SELECT *, len(string_split(s, ' ')) AS n_words, md5(s) AS digest FROM n WHERE len(string_split(s, ' ')) >= {MIN_WORDS}),
+  SELECT doc_id, line - 1 AS unit, start, max("end") OVER k AS "end", sum(n) OVER k AS n_words, string_agg(s, ' ' ORDER BY line) OVER k AS s,
+    count(*) OVER (PARTITION BY doc_id) AS lines FROM l
+  WINDOW k AS (PARTITION BY doc_id ORDER BY line ROWS BETWEEN CURRENT ROW AND {LINES - 1} FOLLOWING)),
+h AS (SELECT doc_id, unit::BIGINT AS unit, start, "end", n_words::BIGINT AS n_words, md5(s) AS digest FROM u WHERE unit <= greatest(lines - {LINES}, 0)),
 f AS (
   SELECT doc_id, unit, start, "end", n_words, digest,
     first_value(doc_id) OVER w AS first_doc_id, first_value(start) OVER w AS first_start FROM h

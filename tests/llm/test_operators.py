@@ -385,33 +385,71 @@ def test_trimmed_keeps_characters_whole():
 # ---- lines
 
 
-def test_lines(docs, rows):
-    first, want = {}, []
-    for i, t, *_ in rows:
+def plain_units(t, kind):
+    """(number, start, end, normalised text) of each unit, by the definition."""
+    if kind == "lines":
         at = 0
-        for n, line in enumerate((t or "").split("\n")):
-            w = re.findall(r"[^\x20\x09-\x0D]+", line)
-            key = re.sub("[A-Z]", lambda m: m[0].lower(), " ".join(w))
-            if len(w) >= lines.MIN_WORDS:
-                if key in first:
-                    want.append((i, n, at, at + len(line), *first[key]))
-                else:
-                    first[key] = (i, at)
+        for line in t.split("\n"):
+            if w := re.findall(r"[^\x20\x09-\x0D]+", line):
+                yield at, at + len(line), " ".join(w)
             at += len(line) + 1
-    got = [(r["doc_id"], r["unit"], r["start"], r["end"], r["first_doc_id"], r["first_start"]) for r in table(lines.repeated_units(docs))]
+        return
+    found = list(re.finditer(r"[^\x20\x09-\x0D]+", t))
+    words = [re.sub("[A-Z]", lambda x: x[0].lower(), m[0]) for m in found]
+    v = [int(hashlib.md5(w.encode()).hexdigest()[:8], 16) for w in words]
+    value = {i: (5 * v[i - 1] + 3 * v[i]) % 2**32 for i in range(1, len(v))}
+    near = range(1, lines.REACH + 1)
+    cut = [0, *(i for i in value if all(value[i] < value.get(i - d, 2**32) and value[i] <= value.get(i + d, 2**32) for d in near)), len(words)]
+    many = min(lines.LINES, len(cut) - 1)
+    for a, b in zip(cut, cut[many:], strict=False) if words else ():
+        yield found[a].start(), found[b - 1].end(), " ".join(words[a:b])
+
+
+@pytest.mark.parametrize("kind", ["lines", "reflowed"])
+def test_lines(docs, rows, kind):
+    first, want = {}, []
+    for i, t, *_ in rows:
+        for n, (s, e, unit) in enumerate(plain_units(t or "", kind)):
+            key = re.sub("[A-Z]", lambda m: m[0].lower(), unit)
+            if key in first:
+                want.append((i, n, s, e, hashlib.md5(key.encode()).hexdigest(), *first[key]))
+            else:
+                first[key] = (i, s)
+    got = [(r["doc_id"], r["unit"], r["start"], r["end"], r["digest"], r["first_doc_id"], r["first_start"]) for r in table(lines.repeated_units(docs, units=kind))]
     assert sorted(got) == sorted(want) and want
-    left = by_id(lines.without_repeated_units(docs))
+    left = by_id(lines.without_repeated_units(docs, units=kind))
     spans = defaultdict(list)
     for i, _, s, e, *_ in want:
-        spans[i].append((s, e))
+        if spans[i] and s <= spans[i][-1][1]:
+            spans[i][-1][1] = max(e, spans[i][-1][1])
+        else:
+            spans[i].append([s, e])
     for i, t, *_ in rows:
         keep, at = "", 0
         for s, e in spans[i]:
             keep, at = keep + t[at:s], min(e + 1, len(t))
         assert left[i]["text"] == (keep + t[at:] if spans[i] else t)
+        assert [[s["start"], s["end"]] for s in left[i]["removed_spans"] or []] == spans[i]
+
+
+def test_lines_passage_in_lines(spark):
+    """A passage that begins and ends inside lines is found but for a few words at its ends."""
+    import random
+
+    r = random.Random(3)
+    words = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    passage = words(60)
+    texts = [f"{words(40)} {passage} {words(40)}", f"{words(7)}\n{words(9)} {passage.replace(' ', chr(10), 3).upper()} {words(30)}", words(100)]
+    left = by_id(lines.without_repeated_units(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert left[0]["text"] == texts[0] and left[2]["text"] == texts[2]
+    gone = len(texts[1]) - len(left[1]["text"])
+    assert 0.6 * len(passage) < gone <= len(passage) + 1
 
 
 def test_lines_odd(odd, empty):
     assert lines.without_repeated_units(odd).count() == 18 and lines.repeated_units(empty).count() == 0
     assert all(r["doc_id"] != 1 or r["first_doc_id"] != 1 for r in table(lines.repeated_units(odd)))
     assert list(lines.unit_spans(b"a\nb\n\n \nc", True)) == [(0, 3), (7, 8)]
+    assert list(lines.reflowed_units(b" \n ")) == [] and [u[:3] for u in lines.reflowed_units("é\n é  b".encode())] == [(0, 6, 3)]
+    long = " ".join(map(str, range(200_000))).encode()
+    assert sum(1 for _ in lines.reflowed_units(long)) > 10_000
