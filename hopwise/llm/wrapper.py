@@ -3,23 +3,33 @@
 from __future__ import annotations
 
 import html
+import json
 import re
-from collections import Counter, OrderedDict
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hopwise.llm.common import picked
+from hopwise.llm.common import checkpointed, picked
 
-#: A text at a node is constant if so many pages of a host, and such a share of them, have it there.
+#: A text at a node is constant if so many different pages of a host have it there, and such a share of those that have the node.
 MIN_PAGES = 3
 MIN_SHARE = 0.2
-#: Hosts whose templates a task holds at once; nodes a template may have below one node.
-HOSTS = 256
-SLOTS = 48
+#: The same inside an article: what only repeats in copies of an article is not its template.
+ARTICLE_PAGES = 5
+ARTICLE_SHARE = 0.8
+#: Pages of a host whose common tree is its template.
+REFERENCES = 8
+#: Pages of a host, about, that one task aligns at a time.
+SLICE_PAGES = 128
+#: Children of a node above which only those of one label are matched, instead of all with one tag.
+MANY = 512
+#: Hosts up to which a table with a few numbers for each is broadcast; beyond, it is joined.
+BROADCAST_HOSTS = 100_000
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -52,12 +62,16 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
 
 class Node:
-    """An element: its label is its tag with its classes; marks say whether it is hidden, named as something to drop, or the main part. Children are nodes and runs of text, in order."""
+    """An element: its label is its tag with its classes; marks say whether it is hidden, named as something to drop, or the main part. Children are nodes and runs of text, in order. holds: whether an article is in it."""
 
-    __slots__ = ("tag", "label", "marks", "children")
+    __slots__ = ("tag", "label", "marks", "children", "holds")
 
     def __init__(self, tag: str, label: str, marks: frozenset) -> None:
-        self.tag, self.label, self.marks, self.children = tag, label, marks, []
+        self.tag, self.label, self.marks, self.children, self.holds = tag, label, marks, [], False
+
+    @property
+    def main(self) -> bool:
+        return self.tag in ("article", "main") or "main" in self.marks
 
 
 def _open(tag: str, attributes: str) -> Node:
@@ -74,21 +88,17 @@ def _open(tag: str, attributes: str) -> Node:
                 if words & MARKS and words <= MARKS | BESIDE:
                     marks |= {"dropped", "others"} if words & OTHERS else {"dropped"}
             if name == "class":
-                label = ".".join([tag, *sorted(set(value.split()))])
+                label = ".".join([tag, *sorted({x for x in value.split() if not re.search("[0-9]", x)})])  # a number is of the page, not of the site
             elif name == "role" and value.lower() == "main":
                 marks.add("main")
     return Node(tag, label, frozenset(marks))
 
 
-def _holds_article(node: Node) -> bool:
-    return any(not isinstance(c, str) and (c.tag in ("article", "main") or "main" in c.marks or _holds_article(c)) for c in node.children)
-
-
 def _dropped(node: Node, inside: bool) -> bool:
     """Whether tag or marks rule the element out. A mark does not if the article is in it, and it says nothing of other articles."""
     if node.tag in DROPPED or node.tag in VOID or "hidden" in node.marks or (node.tag == "header" and not inside):
         return True
-    return "dropped" in node.marks and node.tag not in ("html", "body", "main") and (inside or "others" in node.marks or not _holds_article(node))
+    return "dropped" in node.marks and node.tag not in ("html", "body", "main") and (inside or "others" in node.marks or not node.holds)
 
 
 def parse(source: str) -> Node:
@@ -131,6 +141,11 @@ def parse(source: str) -> Node:
                     break
         node = _open(tag, m[3])
         stack[-1].children.append(node)
+        if node.main:
+            for n_open in reversed(stack):
+                if n_open.holds:
+                    break
+                n_open.holds = True
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(source, at)
             node.children.append(source[at : close.start()] if close else source[at:])
@@ -140,223 +155,312 @@ def parse(source: str) -> Node:
     return root
 
 
-def _inline(node: Node, out: list[str]) -> None:
-    for c in node.children:
-        if isinstance(c, str):
-            out.append(c)
-        elif c.tag == "br":
-            out.append(" ")
-        else:
-            _inline(c, out)
+class Shape:
+    """A node of a page's tree of block elements, in which siblings of one label are one node: a list. texts: keys of the texts at it."""
+
+    __slots__ = ("tag", "label", "children", "texts", "number")
+
+    def __init__(self, label: str, number: int = -1) -> None:
+        self.tag, self.label, self.number = label.partition(".")[0], label, number
+        self.children: list[Shape] = []
+        self.texts: set[int] = set()
+
 
+class Page:
+    """A page's shape, and its blocks of text in page order without what tags and marks rule out: (node, text, whether in an article)."""
 
-def blocks(node: Node, path: str = "", inside: bool = False) -> Iterator[tuple[str, str, bool]]:
-    """(path of labels, text, whether in an article) of each block of text, in page order, without what its tags and marks rule out."""
-    run: list[str] = []
+    def __init__(self, source: str) -> None:
+        self.shape, self.blocks = Shape(""), []
+        below: dict[tuple[int, str], Shape] = {}
+        run: list[str] = []
 
-    def said() -> Iterator[tuple[str, str, bool]]:
-        text = " ".join(html.unescape("".join(run)).split())
-        run.clear()
-        if text:
-            yield path, text, inside
+        def said(shape: Shape, inside: bool, dropped: bool) -> None:
+            if run:
+                text = " ".join(html.unescape("".join(run)).split())
+                run.clear()
+                if text and not dropped:
+                    shape.texts.add(key_of(text))
+                    self.blocks.append((shape, text, inside))
 
-    def walk(n: Node) -> Iterator[tuple[str, str, bool]]:
-        for c in n.children:
-            if isinstance(c, str):
+        # (children left, shape, inside, dropped, whether a block begins there)
+        stack = [(iter(parse(source).children), self.shape, False, False, True)]
+        while stack:
+            rest, shape, inside, dropped, block = stack[-1]
+            c = next(rest, None)
+            if c is None:
+                stack.pop()
+                if block:
+                    said(shape, inside, dropped)
+            elif isinstance(c, str):
                 run.append(c)
             elif c.tag == "br":
                 run.append(" ")
-            elif _dropped(c, inside):
-                if c.tag in BLOCK:
-                    yield from said()
             elif c.tag in BLOCK:
-                yield from said()
-                yield from blocks(c, f"{path}/{c.label}", inside or c.tag in ("article", "main") or "main" in c.marks)
-            else:
-                yield from walk(c)
-
-    yield from walk(node)
-    yield from said()
+                said(shape, inside, dropped)
+                if (child := below.get((id(shape), c.label))) is None:
+                    child = below[id(shape), c.label] = Shape(c.label)
+                    shape.children.append(child)
+                stack.append((iter(c.children), child, inside or c.main, dropped or _dropped(c, inside), True))
+            elif not _dropped(c, inside):
+                stack.append((iter(c.children), shape, inside, dropped, False))
+
+
+def key_of(text: str, node: int = 0) -> int:
+    """64 bits of a text at a node, signed."""
+    h = xxhash.xxh64_intdigest(text.encode("utf-8", "replace"), node & 0xFFFFFFFFFFFFFFFF)
+    return h - (1 << 64) if h >> 63 else h
 
 
-def main_text(found: list[tuple[str, str, bool]], constant: frozenset | set) -> str:
-    """Blocks in an article if there are any, else those that are no template of the host. A page that is all template is taken for untemplated."""
-    chosen = [b for b in found if b[2]]
-    if not chosen:
-        chosen = [b for b in found if text_key(b[0], b[1]) not in constant] or found
-    return "\n".join(t for _, t, _ in chosen)
+def node_weight(t: Shape, p: Shape) -> int:
+    """What two matched nodes count without their children: themselves, the same classes, a text in common."""
+    return 1 + (t.label == p.label) + (not t.texts.isdisjoint(p.texts)) if t.tag == p.tag else 0
 
 
-def text_key(path: str, text: str) -> int:
-    h = xxhash.xxh64_intdigest(f"{path}\0{text}")
-    return h - (1 << 64) if h >> 63 else h
+class Matching:
+    """Simple tree matching: the heaviest match of two trees that keeps order, whose matched nodes have one tag and matched parents. Without recursion, so a tree may be of any depth.
 
+    Lists of over MANY children are matched by equal labels alone, of which there is one at most for each; so the work
+    for two lists is no product of unbounded numbers.
+    """
 
-class Skeleton:
-    """A page's tree of block elements, like-labelled siblings in a row as one node, with the texts at each."""
-
-    __slots__ = ("label", "children", "texts")
+    def __init__(self, a: Shape, b: Shape) -> None:
+        self.a, self.b, self.below = a, b, {}
+        met = [(a, b)] if a.tag == b.tag else []
+        for x, y in met:
+            if x.children and y.children:
+                met += [(c, d) for c, d in self._options(x, y) if c.children and d.children]
+        for x, y in reversed(met):
+            if x.children and y.children:
+                self.below[id(x), id(y)] = self._best(x, y)[-1][-1] if not self._long(x, y) else sum(self.weight(c, d) for c, d in self._chain(x, y))
+
+    @staticmethod
+    def _long(x: Shape, y: Shape) -> bool:
+        return max(len(x.children), len(y.children)) > MANY
+
+    def _options(self, x: Shape, y: Shape) -> Iterator[tuple[Shape, Shape]]:
+        if self._long(x, y):
+            other = {d.label: d for d in y.children}
+            return ((c, other[c.label]) for c in x.children if c.label in other)
+        return ((c, d) for c in x.children for d in y.children if c.tag == d.tag)
+
+    def weight(self, x: Shape, y: Shape) -> int:
+        """Of the match of two trees whose roots are matched; 0 if these can't be."""
+        w = node_weight(x, y)
+        return w + self.below.get((id(x), id(y)), 0) if w else 0
+
+    def _best(self, x: Shape, y: Shape) -> list[list[int]]:
+        """Weights of the best matches of the first i and the first j children."""
+        table = [[0] * (len(y.children) + 1)]
+        for c in x.children:
+            row, above = [0], table[-1]
+            for j, d in enumerate(y.children):
+                most = max(above[j + 1], row[j])
+                if c.tag == d.tag:
+                    most = max(most, above[j] + self.weight(c, d))
+                row.append(most)
+            table.append(row)
+        return table
+
+    def _chain(self, x: Shape, y: Shape) -> list[tuple[Shape, Shape]]:
+        """The longest chain of children of equal labels that are in one order on both sides."""
+        at = {d.label: j for j, d in enumerate(y.children)}
+        last, ends, before = [], [], {}
+        for c in x.children:
+            if (j := at.get(c.label)) is not None:
+                n = bisect_left(last, j)
+                before[j] = ends[n - 1] if n else None
+                last[n : n + 1], ends[n : n + 1] = [j], [(c, j)]
+        out, here = [], ends[-1] if ends else None
+        while here is not None:
+            out.append((here[0], y.children[here[1]]))
+            here = before[here[1]]
+        return out[::-1]
+
+    def children(self, x: Shape, y: Shape) -> list[tuple[Shape, Shape]]:
+        """Children of two matched nodes that the match pairs."""
+        if not x.children or not y.children:
+            return []
+        if self._long(x, y):
+            return self._chain(x, y)
+        table, i, j, out = self._best(x, y), len(x.children), len(y.children), []
+        while i and j:
+            if table[i][j] == table[i - 1][j]:
+                i -= 1
+            elif table[i][j] == table[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                out.append((x.children[i], y.children[j]))
+        return out[::-1]
 
-    def __init__(self, label: str) -> None:
-        self.label, self.children, self.texts = label, [], []
+    def pairs(self) -> list[tuple[Shape, Shape]]:
+        """All matched nodes, parents first."""
+        out = [(self.a, self.b)] if self.a.tag == self.b.tag else []
+        for x, y in out:
+            out += self.children(x, y)
+        return out
 
 
-def skeleton(node: Node, label: str = "") -> Skeleton:
-    out, run = Skeleton(label), []
+class Template:
+    """The common tree of a host's reference pages: each is aligned with the tree so far, and what has no match goes in beside its matched siblings."""
 
-    def walk(n: Node) -> None:
-        for c in n.children:
-            if isinstance(c, str):
-                run.append(c)
-            elif c.tag in RAW or c.tag == "head":
-                continue
-            elif c.tag in BLOCK:
-                s = skeleton(c, c.label)
-                if out.children and out.children[-1].label == s.label:
-                    merge(out.children[-1], s)
+    def __init__(self) -> None:
+        self.root = Shape("")
+
+    def add(self, page: Shape) -> None:
+        matched = Matching(self.root, page).pairs()
+        partner = {id(y): x for x, y in matched}
+        for t, p in matched:
+            t.texts |= p.texts
+            at = 0
+            for c in p.children:
+                if id(c) in partner:
+                    at = next(i for i in range(at, len(t.children)) if t.children[i] is partner[id(c)]) + 1
                 else:
-                    out.children.append(s)
-            else:
-                walk(c)
-
-    walk(node)
-    text = " ".join(html.unescape("".join(run)).split())
-    if text:
-        out.texts.append(text)
+                    t.children.insert(at, c)
+                    at += 1
+
+    def packed(self) -> str:
+        """Parent, label and texts of each node, parents first."""
+        nodes, out = [(-1, self.root)], []
+        for parent, n in nodes:
+            nodes += [(len(out), c) for c in n.children]
+            out.append((parent, n.label, sorted(n.texts)))
+        return json.dumps(out)
+
+    @staticmethod
+    def unpacked(text: str) -> Template:
+        t, nodes = Template(), []
+        for i, (parent, label, texts) in enumerate(json.loads(text)):
+            n = Shape(label, i)
+            n.texts.update(texts)
+            if parent >= 0:
+                nodes[parent].children.append(n)
+            nodes.append(n)
+        t.root = nodes[0]
+        return t
+
+    def nodes(self, page: Shape) -> dict[int, int]:
+        """For each node of a page, by id: the template's node that it is aligned with; nodes without one are known by their labels below it."""
+        matched = {id(p): t.number for t, p in Matching(self.root, page).pairs()}
+        found, todo = {id(page): 0}, [page]
+        for n in todo:
+            for c in n.children:
+                found[id(c)] = matched[id(c)] if id(c) in matched else key_of(c.label, ~found[id(n)])
+                todo.append(c)
+        return found
+
+
+def node_counts(template: Template, pages: Iterable[Page]) -> Counter:
+    """Pages with a block at a node, in an article or not: (node, inside, None) -> pages; with this text there: (node, inside, text) -> pages."""
+    out: Counter = Counter()
+    for p in pages:
+        node = template.nodes(p.shape)
+        out.update({(node[id(shape)], inside, None) for shape, _, inside in p.blocks})
+        out.update({(node[id(shape)], inside, key_of(text, node[id(shape)])) for shape, text, inside in p.blocks})
     return out
 
 
-def merge(a: Skeleton, b: Skeleton) -> None:
-    """Put b's texts and children into a, like-labelled siblings as one."""
-    a.texts += b.texts
-    for i, j in matching(a, b):
-        merge(a.children[i], b.children[j])
-    done = {j for _, j in matching(a, b)}
-    a.children += [c for j, c in enumerate(b.children) if j not in done and len(a.children) < SLOTS]
-
-
-def weight(a: Skeleton, b: Skeleton) -> int:
-    """Simple tree matching: nodes in the largest order-preserving match of two trees whose matched nodes have matched parents and like labels."""
-    if a.label != b.label:
-        return 0
-    return 1 + (_table(a, b)[-1][-1] if a.children and b.children else 0)
+def main_text(page: Page, template: Template | None, constant: frozenset | set) -> str:
+    """The article's blocks, if there are any, else all blocks, without those that are constant at their node.
 
+    A page that is all template is taken for untemplated, as is an article of which template would be half or more.
+    """
+    chosen = [b for b in page.blocks if b[2]]
+    article, chosen = bool(chosen), chosen or page.blocks
+    if constant and template is not None:
+        node = template.nodes(page.shape)
+        left = [b for b in chosen if key_of(b[1], node[id(b[0])]) not in constant]
+        if left and (not article or 2 * sum(len(b[1]) for b in left) > sum(len(b[1]) for b in chosen)):
+            chosen = left
+    return "\n".join(b[1] for b in chosen)
 
-def _table(a: Skeleton, b: Skeleton) -> list[list[int]]:
-    m = [[0] * (len(b.children) + 1)]
-    for x in a.children:
-        row, above = [0], m[-1]
-        for j, y in enumerate(b.children):
-            w = weight(x, y) if x.label == y.label else 0
-            row.append(max(above[j + 1], row[j], above[j] + w))
-        m.append(row)
-    return m
 
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    """For a join: broadcast if it has so few rows, of three numbers at most."""
+    return F.broadcast(df) if rows <= BROADCAST_HOSTS else df
 
-def matching(a: Skeleton, b: Skeleton) -> list[tuple[int, int]]:
-    """Children of a and b that the match pairs."""
-    if not a.children or not b.children:
-        return []
-    m, i, j, out = _table(a, b), len(a.children), len(b.children), []
-    while i and j:
-        if m[i][j] == m[i - 1][j]:
-            i -= 1
-        elif m[i][j] == m[i][j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            out.append((i, j))
-    return out[::-1]
 
+def host_of(url: Column) -> Column:
+    return F.coalesce(F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1)), F.lit(""))
 
-_ARTICLE = re.compile(r"/(?:article|main)(?=[./]|$)")
 
+def _templates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (host, digest, html) sorted by host and digest: a template for each host."""
+    host = seen = held = None
 
-class Template:
-    """What the pages of a host have at the nodes of their common tree."""
+    def told() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([host], pa.int64()), pa.array([held.packed()])], names=["host", "template"])
 
-    def __init__(self) -> None:
-        self.root, self.pages, self.seen = Skeleton(""), 0, set()
-        self.texts: Counter = Counter()
-
-    def add(self, page: Skeleton, key: int) -> None:
-        """Align a page, unless it is a copy of one before."""
-        if key in self.seen:
-            return
-        self.seen.add(key)
-        self.pages += 1
-        self._align(self.root, page, "")
-
-    def _align(self, t: Skeleton, p: Skeleton, path: str) -> None:
-        if not _ARTICLE.search(path):  # what is in an article is content anyhow
-            self.texts.update({text_key(path, x) for x in p.texts})
-        pairs = matching(t, p)
-        for i, j in pairs:
-            self._align(t.children[i], p.children[j], f"{path}/{p.children[j].label}")
-        paired = {j: i for i, j in pairs}
-        at = 0
-        for j, c in enumerate(p.children):
-            if j in paired:
-                at = max(at, paired[j] + 1)
-            elif len(t.children) < SLOTS:
-                t.children.insert(at, Skeleton(c.label))
-                self._align(t.children[at], c, f"{path}/{c.label}")
-                at += 1
-                paired = {k: i + (i >= at - 1) for k, i in paired.items()}
-
-
-def template_texts(pages: DataFrame) -> DataFrame:
-    """pages: host, html. (host, constant): per host the keys of texts that are constant at their node, 1 / MIN_SHARE for each node at most.
-
-    A task aligns the pages that it meets, host by host, and hands on only counts; a host's counts are then summed over
-    all tasks. So a hot host is aligned wherever its pages lie, and no page moves.
-    """
+    for b in batches:
+        for h, digest, source in zip(b["host"].to_pylist(), b["digest"].to_pylist(), b["html"].to_pylist(), strict=True):
+            if h != host:
+                if held is not None:
+                    yield told()
+                host, seen, held = h, None, Template()
+            if digest != seen:
+                seen = digest
+                held.add(Page(source).shape)
+    if held is not None:
+        yield told()
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: OrderedDict[str, Template] = OrderedDict()
 
-        def told(host: str, t: Template) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([host] * (len(t.texts) + 1)), pa.array([None, *t.texts], pa.int64()), pa.array([t.pages, *t.texts.values()], pa.int64())], names=["host", "key", "n"])
+def _counts(key: tuple, pages: pa.Table, template: pa.Table) -> pa.Table:
+    names = {"host": pa.int64(), "node": pa.int64(), "inside": pa.bool_(), "key": pa.int64(), "n": pa.int64()}
+    found: Counter = Counter()
+    if template.num_rows and pages.num_rows:
+        t, sources = Template.unpacked(template["template"][0].as_py()), dict(zip(pages["digest"].to_pylist(), pages["html"].to_pylist(), strict=True))
+        found = node_counts(t, (Page(s) for s in sources.values() if s))
+    host = key[0].as_py()
+    return pa.table([pa.array([host] * len(found), pa.int64()), *[pa.array([k[i] for k in found], kind) for i, kind in enumerate(list(names.values())[1:4])], pa.array(list(found.values()), pa.int64())], names=list(names))
 
-        for b in batches:
-            for host, source in zip(b["host"].to_pylist(), b["html"].to_pylist(), strict=True):
-                if not host or not source:
-                    continue
-                t = held.pop(host, None) or Template()
-                held[host] = t
-                t.add(skeleton(parse(source)), xxhash.xxh64_intdigest(source))
-                if len(held) > HOSTS:
-                    yield told(*held.popitem(last=False))
-        for host, t in held.items():
-            yield told(host, t)
 
-    counts = pages.mapInArrow(run, "host string, key long, n long").groupBy("host", "key").agg(F.sum("n").alias("n")).where(f"n >= {MIN_PAGES}")
-    of = counts.where("key is null").select("host", F.col("n").alias("pages"))
-    return counts.where("key is not null").join(of, "host").where(F.col("n") >= MIN_SHARE * F.col("pages")).groupBy("host").agg(F.collect_list("key").alias("constant"))
+def _texts(key: tuple, pages: pa.Table, template: pa.Table) -> pa.Table:
+    t, constant = None, frozenset()
+    if template.num_rows and pages.num_rows:
+        t, constant = Template.unpacked(template["template"][0].as_py()), frozenset(template["constant"][0].as_py() or ())
+    out = [main_text(Page(s), t, constant) if s else "" for s in pages["html"].to_pylist()]
+    return pa.table([pages["page_id"], pages["url"], pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
 def extract_main_text(df: DataFrame, page_id: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
     """One row per input row: page_id, url, text, n_chars.
 
-    Template are the texts that many pages of a host have at the same node of their aligned trees, and what tags, roles
-    and class names mark as menus, notices, adverts, forms, comments and the like. Content is the article or main
-    element where a page has one, without these, else all blocks that are no template. Blocks are joined by one newline
-    in page order, white space in a block is one space, character references are decoded.
+    A host's template is the common tree of REFERENCES of its pages, those whose digests are least in as many parts of
+    the digests. Every page of the host is aligned with it by simple tree matching, which names the nodes of its texts.
+    A text that many pages have at one node, of those that have the node, is constant there: template. What varies is
+    content: the article or main element where a page has one, else all blocks, each without what is constant and
+    without what tags, roles and class names mark as menus, notices, adverts, forms, comments and the like. Blocks are
+    joined by one newline in page order, white space in a block is one space, character references are decoded.
+
+    Pages are dealt by host and a part of their digest, so that a hot host is many groups; both passes over them read
+    the same exchange. A page repeated whole counts once, as copies have one digest and meet in one group; so results
+    do not depend on the partitioning. Template and constants of a host are sent to each of its groups.
 
-    A null or empty page gives an empty text; a page without a host, or alone on it, has no constant nodes; repeated
-    pages count once in the task that aligns them; page_id and url are passed on, null or not; other columns are not
-    looked at; an empty table gives an empty result.
+    A null or empty page gives an empty text; a page without a host has no constant nodes, nor has one of fewer than
+    MIN_PAGES different ones; pages may be of any length and depth, a group's being in memory at once; page_id and url
+    are passed on, null or not; other columns are not looked at; an empty table gives an empty result.
     """
-    host = F.coalesce(F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1)), F.lit(""))
-    pages = picked(df, page_id=page_id, url=url, html=source).withColumn("host", host)
-    kind = pages.schema["page_id"].dataType.simpleString()
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for s, constant in zip(b["html"].to_pylist(), b["constant"].to_pylist(), strict=True):
-                out.append(main_text(list(blocks(parse(s))), frozenset(constant or ())) if s else "")
-            yield pa.RecordBatch.from_arrays([b["page_id"], b["url"], pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
-
-    joined = pages.join(template_texts(pages.select("host", "html")), "host", "left").select("page_id", "url", "html", "constant")
-    return joined.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    rows = picked(df, page_id=page_id, url=url, html=source).withColumn("host", F.when(host_of(F.col("url")) != "", F.xxhash64(host_of(F.col("url")))).otherwise(F.lit(0).cast("long")))
+    rows = rows.withColumn("digest", F.xxhash64("html"))
+    size = checkpointed(rows.groupBy("host").agg(F.count("*").alias("n")).select("host", F.ceil(F.col("n") / SLICE_PAGES).cast("int").alias("slices")))
+    hosts = size.count()
+    part = F.pmod(F.shiftright("digest", 7), F.lit(REFERENCES))
+    chosen = rows.where("host <> 0 and html <> ''").groupBy("host", part.alias("part")).agg(F.min("digest").alias("digest")).select("host", "digest")
+    chosen = rows.select("host", "digest", "html").join(_few(checkpointed(chosen), REFERENCES * hosts), ["host", "digest"], "left_semi")
+    chosen = chosen.dropDuplicates(["host", "digest"]).repartition("host").sortWithinPartitions("host", "digest")
+    templates = checkpointed(chosen.mapInArrow(_templates, "host long, template string"))
+    placed = rows.join(_few(size, hosts), "host").withColumn("slice", F.pmod("digest", "slices").cast("int")).select("host", "slice", "digest", "page_id", "url", "html")
+    sent = templates.join(size, "host").select("host", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "template")
+
+    groups = lambda x: x.groupBy("host", "slice")
+    counts = groups(placed).cogroup(groups(sent)).applyInArrow(_counts, "host long, node long, inside boolean, key long, n long")
+    # told apart by an aggregate, so that no filter goes below it and both sides of the join read one exchange
+    counts = counts.groupBy("host", "node", "inside", "key").agg(F.sum("n").alias("n"), F.max(F.col("key").isNull()).alias("total"))
+    of = counts.where("total").select("host", "node", "inside", F.col("n").alias("pages"))
+    least = lambda a, b: F.when(F.col("inside"), F.lit(a)).otherwise(F.lit(b))
+    many = (F.col("n") >= least(ARTICLE_PAGES, MIN_PAGES)) & (F.col("n") >= least(ARTICLE_SHARE, MIN_SHARE) * F.col("pages"))
+    constant = counts.where("not total").join(of, ["host", "node", "inside"]).where(many)
+    constant = constant.groupBy("host").agg(F.collect_list("key").alias("constant"))
+    kind = rows.schema["page_id"].dataType.simpleString()
+    return groups(placed).cogroup(groups(sent.join(constant, "host", "left"))).applyInArrow(_texts, f"page_id {kind}, url string, text string, n_chars long")

@@ -450,6 +450,6 @@ def test_lines_odd(odd, empty):
     assert lines.without_repeated_units(odd).count() == 18 and lines.repeated_units(empty).count() == 0
     assert all(r["doc_id"] != 1 or r["first_doc_id"] != 1 for r in table(lines.repeated_units(odd)))
     assert list(lines.unit_spans(b"a\nb\n\n \nc", True)) == [(0, 3), (7, 8)]
-    assert list(lines.reflowed_units(b" \n ")) == [] and [u[:3] for u in lines.reflowed_units("é\n é  b".encode())] == [(0, 6, 3)]
+    assert list(lines.reflowed_units(b" \n ")) == [] and [u[:3] for u in lines.reflowed_units("é\n é  b".encode())] == [(0, 7, 3)]
     long = " ".join(map(str, range(200_000))).encode()
     assert sum(1 for _ in lines.reflowed_units(long)) > 10_000
