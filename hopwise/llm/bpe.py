@@ -19,8 +19,12 @@ from pyspark.sql import DataFrame
 from hopwise.llm.common import as_bytes, picked, rows_at_a_time
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-#: Bytes of a word that is encoded at once; longer ones go through the transducer.
-SHORT = 24
+#: Bytes of text that are split into units at once; a longer run without white space is streamed in pieces of so many.
+BLOCK = 1 << 18
+PIECE = 1 << 14
+#: Characters of a match of the pattern from which on it is not held until it ends, and first ones by which it is known then.
+OPEN = 256
+HEAD = 8
 #: White-space-separated units and words of which a worker remembers the ids.
 UNITS, WORDS = 600_000, 1_200_000
 
@@ -28,11 +32,15 @@ UNITS, WORDS = 600_000, 1_200_000
 _SPACE = r"\t-\r \x85\xa0  -     　"
 
 
+_BLANKS = [bytes([b]) for b in b" \t\n\r\x0b\x0c"]
+_BLANK = regex.compile(rb"[ \t\n\r\x0b\x0c]")
+
 #: Bits for a token id below a merge's rank, and a rank that no merge has.
 _MADE = 24
 _NONE = 1 << 60
 
 
+@lru_cache(maxsize=1)
 def byte_alphabet() -> list[str]:
     """The character that stands for each byte: itself if it is printable Latin-1, else the next one from U+0100 on."""
     plain = {b for b in range(256) if chr(b).isprintable() and not chr(b).isspace()}
@@ -40,6 +48,11 @@ def byte_alphabet() -> list[str]:
     return [chr(b if b in plain else next(spare)) for b in range(256)]
 
 
+@lru_cache(maxsize=1)
+def byte_values() -> dict[str, int]:
+    return {c: b for b, c in enumerate(byte_alphabet())}
+
+
 def sufficient_lookahead(merges: list[tuple[int, int, int]], length: list[int]) -> int | None:
     """Symbols to the right of a token's end after which nothing can change the token any more; None if no bound is known.
 
@@ -98,6 +111,7 @@ class Encoder:
         self.added = added
         self.specials = regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True)))) if added else None
         self._rules(spec)
+        self.transducer = Transducer(self)
 
     def _rules(self, spec: dict) -> None:
         parts = lambda x, many: [] if x is None else x[many] if x["type"] == "Sequence" else [x]
@@ -123,6 +137,8 @@ class Encoder:
         self.split = self._pattern(split)
         #: Whether white space only separates: then each unit between it is encoded alone.
         self.units = self.split.findall("a b\nc") == ["a", "b", "c"]
+        #: Whether a match is a run of letters, a run of what is neither letter nor digit, or three characters at most.
+        self.runs = self.units and split in (r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",) and self.kinds == ["NFC", "Space", "Lowercase"]
 
     @staticmethod
     def _pattern(p: str) -> regex.Pattern:
@@ -168,15 +184,10 @@ class Encoder:
         return [x for x in s if x >= 0]
 
     def word(self, raw: bytes) -> list[int]:
-        """Ids of one pattern match, emitted as they become stable; only lookahead and block symbols are held."""
+        """Ids of one pattern match, through the transducer."""
         if self.whole and (i := self.vocab.get("".join(self.text[self.byte[b]] for b in raw) + self.suffix)) is not None:
             return [i]
-        if len(raw) <= SHORT:
-            return self._few([self.byte[b] for b in raw[:-1]] + [self.last_byte[raw[-1]]])
-        t, out = Transducer(self), []
-        for at in range(0, len(raw) - 1, Transducer.BLOCK):
-            out += t.push([self.byte[b] for b in raw[at : min(at + Transducer.BLOCK, len(raw) - 1)]])
-        return out + t.finish([self.last_byte[raw[-1]]])
+        return self.transducer.push(raw) + self.transducer.finish()
 
     def segments(self, text: str) -> Iterator[str | int]:
         """The text between added tokens, and their ids."""
@@ -205,15 +216,31 @@ class Encoder:
 
 
 class Transducer:
-    """Takes a word's symbols in pieces and returns its tokens once no further symbol can change them."""
+    """Takes a word's bytes in pieces and returns its tokens once no further byte can change them; it holds the lookahead and two blocks of symbols at most.
+
+    The last byte given is kept apart, as it may be the word's last, whose symbol is another.
+    """
 
     BLOCK = 1024
 
     def __init__(self, encoder: Encoder) -> None:
-        self.encoder, self.held = encoder, []
+        self.encoder, self.held, self.last = encoder, [], None
+
+    def push(self, raw: bytes) -> list[int]:
+        byte = self.encoder.byte
+        if self.last is not None:
+            self.held.append(byte[self.last])
+        self.last = raw[-1]
+        if len(raw) <= self.BLOCK:
+            self.held += [byte[b] for b in raw[:-1]]
+            return self._stable() if len(self.held) > self.BLOCK else []
+        out = []
+        for at in range(0, len(raw) - 1, self.BLOCK):
+            self.held += [byte[b] for b in raw[at : min(at + self.BLOCK, len(raw) - 1)]]
+            out += self._stable()
+        return out
 
-    def push(self, symbols: list[int]) -> list[int]:
-        self.held += symbols
+    def _stable(self) -> list[int]:
         ahead = self.encoder.lookahead
         if ahead is None or len(self.held) < ahead + self.BLOCK:
             return []
@@ -226,25 +253,101 @@ class Transducer:
         self.held = self.held[end:]
         return tokens[:n]
 
-    def finish(self, symbols: list[int]) -> list[int]:
-        held, self.held = self.held + symbols, []
+    def finish(self) -> list[int]:
+        """The tokens still held, as the word has ended."""
+        held = self.held
+        if self.last is not None:
+            held.append(self.encoder.last_byte[self.last])
+        self.held, self.last = [], None
         return self.encoder.merged(held)
 
 
+@lru_cache(maxsize=1)
+def joining() -> frozenset[str]:
+    """Characters that may compose with what stands before them: combining ones, second ones of compositions, Hangul vowels and finals."""
+    chars = [chr(i) for i in [*range(0x300, 0xAC00), *range(0xF900, 0x1F000)]]
+    second = {d.split()[1] for c in chars if (d := unicodedata.decomposition(c)) and d[0] != "<" and " " in d}
+    return frozenset(chr(int(x, 16)) for x in second) | {c for c in chars if unicodedata.combining(c)} | {chr(i) for i in range(0x1161, 0x1200)}
+
+
+class TextStream:
+    """Takes the bytes of a text in pieces and returns its ids once nothing that follows can change them.
+
+    Held are at most a piece's rest that may still compose with what follows or begin an added token, the last match of
+    the pattern while it is short, and what the transducer holds: constant memory, but for a run of combining characters.
+    Only for files whose rules are `Encoder.runs`.
+    """
+
+    def __init__(self, encoder: Encoder) -> None:
+        self.e, self.utf8 = encoder, codecs.getincrementaldecoder("utf-8")("replace")
+        self.raw = self.pending = self.head = ""
+        self.word = Transducer(encoder)
+
+    def feed(self, piece: bytes, last: bool = False) -> list[int]:
+        self.raw += self.utf8.decode(piece, last)
+        cut = len(self.raw) if last else self._settled()
+        part, self.raw = self.raw[:cut], self.raw[cut:]
+        out: list[int] = []
+        for segment in self.e.segments(part):
+            if isinstance(segment, int):
+                out += [*self._split("", True), segment]
+            else:
+                for step in self.e.steps:
+                    segment = step(segment)
+                out += self._split(segment, False)
+        return out + self._split("", True) if last else out
+
+    def _settled(self) -> int:
+        """Up to where what follows changes neither the text's composition nor its added tokens."""
+        cut = len(self.raw) - 1
+        while cut > 0 and (self.raw[cut] in joining() or unicodedata.combining(self.raw[cut])):
+            cut -= 1
+        longest = max(map(len, self.e.added), default=0)
+        for at in range(max(0, cut - longest + 1), cut):
+            if any(t.startswith(self.raw[at:cut]) or self.raw.startswith(t, at) for t in self.e.added):
+                return at
+        return max(cut, 0)
+
+    def _split(self, text: str, last: bool) -> list[int]:
+        """The ids of the pattern's matches that are settled."""
+        out, match, at = [], self.e.split, 0
+        if self.head:
+            m = match.match(self.head + text)
+            at = max(0, m.end() - len(self.head)) if m else 0
+            if at:
+                out += self.word.push(text[:at].encode())
+            if at == len(text) and not last:
+                return out
+            self.head = ""
+            out += self.word.finish()
+        text, self.pending = self.pending + text[at:], ""
+        for m in match.finditer(text):
+            size = m.end() - m.start()
+            if last or m.end() + 3 <= len(text) or (size > HEAD and m.end() < len(text)):
+                out += self.word.push(m[0].encode()) + self.word.finish() if size else []
+            elif size > OPEN and m.end() == len(text):
+                self.head = m[0][:HEAD]
+                out += self.word.push(m[0].encode())
+                break
+            else:
+                self.pending = text[m.start() :]
+                break
+        return out
+
+
 class Decoder:
     """Ids to text, one at a time. Byte-level files go through an incremental UTF-8 decoder that holds at most three bytes; files without a decoder join their tokens by a space."""
 
     def __init__(self, encoder: Encoder, byte_level: bool) -> None:
         self.encoder, self.byte_level, self.begun = encoder, byte_level, False
         self.state = codecs.getincrementaldecoder("utf-8")("replace")
-        self.value = {c: b for b, c in enumerate(byte_alphabet())}
 
     def feed(self, token: int) -> str:
         text = self.encoder.text[token]
         if not self.byte_level:
             text, self.begun = " " * self.begun + text, True
             return text
-        return self.state.decode(text.encode() if token in self.encoder.added.values() else bytes(self.value[c] for c in text))
+        return self.state.decode(text.encode() if token in self.encoder.added.values() else bytes(map(byte_values().__getitem__, text)))
 
     def finish(self) -> str:
         return self.state.decode(b"", True)
@@ -295,7 +398,7 @@ class UnitEncoder:
         #: Finds the first bytes of added tokens.
         self.hinted = regex.compile(b"[" + b"".join({b"\\" + t.encode()[:1] for t in encoder.added}) + b"]").search if encoder.added else lambda _: None
         #: All that is done to a unit is to compose it and to lower-case it, and letters are one match.
-        self.simple = encoder.kinds == ["NFC", "Space", "Lowercase"] and encoder.split.findall("abyzé") == ["abyzé"]
+        self.simple = encoder.runs
         self.form = "NFC"
         self.lower = "Lowercase" in encoder.kinds
 
@@ -318,17 +421,48 @@ class UnitEncoder:
         return b"".join([self.words[m.encode()] for m in self.encoder.split.findall(text)])
 
 
-def units(text: bytes, block: int = 1 << 20) -> Iterator[list[bytes]]:
-    """The white-space-separated units of a text, a block's worth at a time."""
+def unit_blocks(text: bytes) -> Iterator[list[bytes] | memoryview]:
+    """The white-space-separated units of a text, a block's worth at a time; of a longer run without white space its bytes."""
     at, n = 0, len(text)
     while at < n:
-        end = min(n, at + block)
-        while end < n and text[end] not in b" \t\n\r\x0b\x0c":
-            end += 1
+        end = min(n, at + BLOCK)
+        if end < n:
+            cut = max(text.rfind(c, at, end) for c in _BLANKS)
+            if cut < 0:
+                m = _BLANK.search(text, end)
+                end = m.start() if m else n
+                yield memoryview(text)[at:end]
+                at = end
+                continue
+            end = cut + 1
         yield text[at:end].split()
         at = end
 
 
+def streamed(e: Encoder, run: memoryview) -> Iterator[list[int]]:
+    """The ids of a run without white space, a piece at a time."""
+    if not e.runs:
+        yield e.encode(bytes(run).decode("utf-8", "replace"))
+        return
+    stream = TextStream(e)
+    for at in range(0, len(run), PIECE):
+        yield stream.feed(bytes(run[at : at + PIECE]), at + PIECE >= len(run))
+
+
+def packed_parts(source: str, text: bytes) -> Iterator[bytes]:
+    """The packed ids of a text, in parts."""
+    e = encoder_of(source)
+    if not e.units:
+        yield packed_ids(e.encode(text.decode("utf-8", "replace")))
+        return
+    known = remembered(source, "ids", lambda _, packed: packed)
+    for block in unit_blocks(text):
+        if isinstance(block, list):
+            yield from known.of(block)
+        else:
+            yield from map(packed_ids, streamed(e, block))
+
+
 _worker: dict = {}
 
 
@@ -342,40 +476,68 @@ def remembered(source: str, kind: str, made) -> Remembered:
     return _worker[key]
 
 
-def _spelled(e: Encoder, packed: bytes) -> tuple[int, bytes, bytes]:
-    ids = struct.unpack(f"<{len(packed) // 4}I", packed)
-    return len(ids), " ".join(map(str, ids)).encode(), " ".join([e.text[i] for i in ids]).encode()
+def spelled(e: Encoder, ids: Iterable[int], decoder: Decoder) -> tuple[int, bytes, bytes]:
+    """How many ids, the ids as text, and what the decoder makes of them in its state."""
+    ids = list(ids)
+    return len(ids), " ".join(map(str, ids)).encode(), "".join(map(decoder.feed, ids)).encode()
+
+
+def _remembered_spelling(e: Encoder, packed: bytes) -> tuple[int, bytes, bytes]:
+    return spelled(e, struct.unpack(f"<{len(packed) // 4}I", packed), Decoder(e, False))
 
 
-def _digests(e: Encoder, byte_level: bool, text: bytes) -> tuple[int, str, str]:
-    """Of any file: the whole text goes through the encoder and back through the decoder."""
-    ids = e.encode(text.decode("utf-8"))
-    d, back = Decoder(e, byte_level), hashlib.sha256()
-    for i in ids:
-        back.update(d.feed(i).encode())
-    back.update(d.finish().encode())
-    return len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), back.hexdigest()
+class Digests:
+    """Digests of a text's ids and of what they decode to, fed part by part."""
 
+    def __init__(self, decoder: Decoder) -> None:
+        self.decoder, self.total, self.ids, self.back = decoder, 0, hashlib.sha256(), hashlib.sha256()
 
-def _by_units(known: Remembered, text: bytes) -> tuple[int, str, str]:
-    total, ids, back = 0, hashlib.sha256(), hashlib.sha256()
-    for block in units(text):
-        got = [x for x in known.of(block) if x[0]]
+    def _add(self, n: int, ids: bytes, back: bytes) -> None:
+        self.ids.update(b" " + ids if self.total else ids)
+        self.back.update(back)
+        self.total += n
+
+    def feed(self, ids: list[int]) -> None:
+        if ids:
+            self._add(*spelled(self.decoder.encoder, ids, self.decoder))
+
+    def feed_known(self, parts: list[tuple[int, bytes, bytes]]) -> None:
+        """What a decoder that had not begun made of each part; it goes on from one to the next with a space, as this one does if it has begun."""
+        got = [x for x in parts if x[0]]
         if got:
-            gap = b" " if total else b""
-            ids.update(gap + b" ".join([x[1] for x in got]))
-            back.update(gap + b" ".join([x[2] for x in got]))
-            total += sum([x[0] for x in got])
-    return total, ids.hexdigest(), back.hexdigest()
+            back = b" ".join([x[2] for x in got])
+            self._add(sum([x[0] for x in got]), b" ".join([x[1] for x in got]), b" " + back if self.decoder.begun else back)
+            self.decoder.begun = True
+
+    def result(self) -> tuple[int, str, str]:
+        self.back.update(self.decoder.finish().encode())
+        return self.total, self.ids.hexdigest(), self.back.hexdigest()
+
+
+def digests(e: Encoder, byte_level: bool, known: Remembered, text: bytes) -> tuple[int, str, str]:
+    """Of a text: by its units, if white space only separates and decoding joins tokens by a space, else as a whole."""
+    d = Digests(Decoder(e, byte_level))
+    if byte_level or not e.units:
+        d.feed(e.encode(text.decode("utf-8", "replace")))
+        return d.result()
+    for block in unit_blocks(text):
+        if isinstance(block, list):
+            d.feed_known(known.of(block))
+        else:
+            for ids in streamed(e, block):
+                d.feed(ids)
+    return d.result()
 
 
 def bpe_digests(df: DataFrame, path: str = TOKENIZER, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per input row: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
-    Where the file drops white space, each unit between white space is encoded alone and a worker remembers the units
-    it meets; that memory is emptied when full. A word of any length goes through the transducer. Digests are fed piece
-    by piece. Null texts are empty, with the digests of nothing; ids and other columns may be anything; an empty table
-    gives an empty result. The file is read on the driver and its text sent along, as executors need not have it.
+    Each match of the file's pattern goes through the transducer, which emits tokens as they become stable, and their
+    ids go through the decoder's state machine. In front of both, where the file drops white space, a worker remembers
+    the units between white space that it meets, in bounded memory. A run of over BLOCK bytes without white space is
+    streamed piece by piece; so beside the text itself memory is constant. A file that keeps white space has its texts
+    encoded whole. Null texts are empty, with the digests of nothing; ids and other columns may be anything; an empty
+    table gives an empty result. The file is read on the driver and its text sent along, as executors need not have it.
     """
     with open(path, encoding="utf-8") as f:
         source = f.read()
@@ -383,11 +545,9 @@ def bpe_digests(df: DataFrame, path: str = TOKENIZER, text: str = "text", doc_id
     byte_level = (spec.get("decoder") or {}).get("type") == "ByteLevel"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder_of(source)
-        plain = e.units and not byte_level
-        known = remembered(source, "spelled", _spelled)
+        e, known = encoder_of(source), remembered(source, "spelled", _remembered_spelling)
         for b in rows_at_a_time(batches):
-            out = [_by_units(known, t) if plain else _digests(e, byte_level, t) for t in as_bytes(b["text"])]
+            out = [digests(e, byte_level, known, t) for t in as_bytes(b["text"])]
             cols = [pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
             yield pa.RecordBatch.from_arrays([b["doc_id"], *cols], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

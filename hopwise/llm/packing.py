@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hopwise.llm.bpe import TOKENIZER, packed_ids, remembered, units
+from hopwise.llm.bpe import TOKENIZER, packed_ids, packed_parts
 from hopwise.llm.common import as_bytes, checkpointed, picked, rows_at_a_time
 
 #: Tokens of a sequence, and the id that ends a document.
@@ -88,16 +88,12 @@ def packed(df: DataFrame, path: str = TOKENIZER, size: int = SIZE, end_id: int =
     schema = f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, part long"
 
     def first(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = remembered(source, "ids", lambda _, packed: packed)
         part, packer, n, kind = TaskContext.get().partitionId(), BoundedPacker(size, most), 0, None
         end = packed_ids([end_id])
         for b in rows_at_a_time(batches):
             kind, out = b["doc_id"].type, []
             for doc, t in zip(b["doc_id"].to_pylist(), as_bytes(b["text"]), strict=True):
-                parts = []
-                for block in units(t):
-                    parts += known.of(block)
-                ids = b"".join([*parts, end])
+                ids = b"".join([*packed_parts(source, t), end])
                 total = len(ids) // 4
                 for start in range(0, total, size):
                     length = min(size, total - start)

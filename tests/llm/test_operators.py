@@ -248,6 +248,48 @@ def test_transducer_is_exact_on_long_words_and_byte_level_files(tokenizer):
     assert "".join(map(d.feed, other.encode("😀").ids[:1])) + d.finish() == other.decode(other.encode("😀").ids[:1])
 
 
+def test_bpe_goes_through_the_transducer_and_the_decoder(tokenizer, monkeypatch):
+    import random
+
+    r, seen = random.Random(9), Counter()
+    push, feed = bpe.Transducer.push, bpe.Decoder.feed
+
+    def counted(self, raw):
+        out = push(self, raw)
+        seen["words" if not out else "early"] += 1
+        seen["held"] = max(seen["held"], len(self.held))
+        return out
+
+    monkeypatch.setattr(bpe.Transducer, "push", counted)
+    monkeypatch.setattr(bpe.Decoder, "feed", lambda self, i: (seen.update(["feeds"]), feed(self, i))[1])
+    source = open(bpe.TOKENIZER, encoding="utf-8").read()
+    e, known = bpe.Encoder(source), bpe.Remembered(None, 1000)
+    ids_of = bpe.UnitEncoder(e)
+    known.made = lambda unit: bpe._remembered_spelling(e, ids_of(unit))
+    texts = ["some plain words, and some more words", "".join(r.choice("theinganders") for _ in range(900_000)), "x" * 300_000 + " y " + "!" * 300_000, "a<|endoftext|>" * 30_000, "e\u0301\uac00" * 100_000]
+    for t in texts:
+        ids = tokenizer.encode(t, add_special_tokens=False).ids
+        back = tokenizer.decode(ids, skip_special_tokens=False)
+        seen["feeds"] = 0
+        got = bpe.digests(e, False, known, t.encode())
+        assert got == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest())
+        assert len(t) < 1000 or seen["feeds"] >= min(len(ids), 1000)
+    assert seen["early"] > 100 and seen["words"] > 5 and seen["held"] < e.lookahead + 3 * bpe.Transducer.BLOCK
+
+
+def test_bpe_stream_in_any_pieces(tokenizer, monkeypatch):
+    import random
+
+    r = random.Random(1)
+    e = bpe.encoder_of(open(bpe.TOKENIZER, encoding="utf-8").read())
+    kinds = ["theinganderstion", "ab'sretvlmd", "é中aáé́x", "0123", "!!''..", "<|endoftext|>", "가각각", "Σσς", "ẞİIi"]
+    for _ in range(200):
+        monkeypatch.setattr(bpe, "PIECE", r.choice([1, 2, 7, 50, 1000]))
+        monkeypatch.setattr(bpe, "OPEN", r.choice([9, 20, 256]))
+        t = "".join("".join(r.choice(a) for _ in range(r.randint(1, 60))) if r.random() < 0.9 else "<|startoftext|>" for a in r.choices(kinds, k=r.randint(1, 12)))
+        assert [i for part in bpe.streamed(e, memoryview(t.encode())) for i in part] == tokenizer.encode(t, add_special_tokens=False).ids
+
+
 def test_bpe_odd(odd, empty):
     out = table(bpe.bpe_digests(odd))
     assert len(out) == 18 and sum(r["n_tokens"] == 0 for r in out) == 2 and bpe.bpe_digests(empty).count() == 0
@@ -287,6 +329,15 @@ def test_packing(docs, rows, tokenizer, most, monkeypatch):
         assert len(sequences) <= -(-sum(r["length"] for r in out) // packing.SIZE) + 2
 
 
+def test_packing_with_a_file_that_keeps_white_space(spark):
+    import public_tokenizers
+
+    path, t = public_tokenizers.path("byte_bpe_50k.json"), "two  words\n and 3"
+    ids = [*Tokenizer.from_file(path).encode(t).ids, 1]
+    (row,) = table(packing.packed(spark.createDataFrame([(1, t)], "doc_id long, text string"), path=path))
+    assert (row["doc_tokens"], row["ids_crc32"]) == (len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
+
+
 def test_packing_odd(odd, empty):
     assert sum(r["start"] == 0 for r in table(packing.packed(odd))) == 18
     assert packing.packed(empty).count() == 0
