@@ -43,8 +43,9 @@ def word_values(words: list[bytes]) -> np.ndarray:
     """The first 32 bits of each word's MD5."""
     if len(_values) > KNOWN:
         _values.clear()
-    for w in set(words) - _values.keys():
-        _values[w] = int.from_bytes(md5(w, usedforsecurity=False).digest()[:4], "big")
+    for w in words:
+        if w not in _values:
+            _values[w] = int.from_bytes(md5(w, usedforsecurity=False).digest()[:4], "big")
     return np.fromiter(map(_values.__getitem__, words), np.int64, len(words))
 
 
