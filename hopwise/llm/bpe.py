@@ -26,7 +26,7 @@ PIECE = 1 << 14
 OPEN = 256
 HEAD = 8
 #: White-space-separated units and words of which a worker remembers the ids.
-UNITS, WORDS = 600_000, 1_200_000
+UNITS, WORDS = 100_000, 600_000
 
 #: White space as the tokenizers library's patterns know it.
 _SPACE = r"\t-\r \x85\xa0  -     　"

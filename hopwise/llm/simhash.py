@@ -53,10 +53,10 @@ def fingerprints(df: DataFrame, text: str = "text", doc_id: str = "doc_id", keye
             fp = np.array([fingerprint(x.lower().split(), shingle_words) for x in as_bytes(b["text"])], np.uint64)
             yield pa.RecordBatch.from_arrays([b[n] for n in names[:-1]] + [pa.array(fp.view(np.int64))], names=names)
 
-    rows = picked(df, doc_id=F.col(doc_id).cast("long"), text=text)
+    rows = picked(df, doc_id=doc_id, text=text)
     if keyed:
         rows = rows.withColumn(RID, row_key("doc_id", "text"))
-    return rows.mapInArrow(run, f"{RID} binary, " * keyed + "doc_id long, fp long")
+    return rows.mapInArrow(run, f"{RID} binary, " * keyed + f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def pivots(n: int = PIVOTS) -> np.ndarray:
@@ -165,7 +165,7 @@ def near_duplicates(df: DataFrame, max_bits: int = MAX_BITS, text: str = "text",
     """One row per input row: doc_id, fingerprint, component_id; with keyed also the row's key and that of its component's first row.
 
     A-Z is lower-cased, words are ``[^\\x20\\x09-\\x0D]+``, shingles are of shingle_words words with repeats; fingerprints link at
-    max_bits or fewer differing bits. component_id is the smallest doc_id that a document reaches. Equal fingerprints are one node, so copies cost nothing beyond their fingerprint.
+    max_bits or fewer differing bits; whole texts of any length are read. component_id is the smallest doc_id that a document reaches, of doc_id's type. Equal fingerprints are one node, so copies cost nothing beyond their fingerprint.
     Null and empty texts have fingerprint zero and link like any other; a null doc_id comes after all others; repeated
     rows are in one component; an empty table gives an empty result; other columns are not looked at.
     """

@@ -12,7 +12,8 @@ from tokenizers import Tokenizer
 import __spark_entry__ as entry
 import corpus_pipeline
 from hopwise.llm import bpe, quality, repeats
-from tests.llm.test_operators import brute_base, brute_components, brute_fingerprint
+from tests.llm.test_jaccard import brute_kept
+from tests.llm.test_operators import brute_base
 
 
 def brute_stages(rows, model):
@@ -27,8 +28,8 @@ def brute_stages(rows, model):
         best[k] = min(best.get(k, (1, 0)), (-len(t), i))
     text = {i: text[i] for _, i in best.values()}
     stages.append(text)
-    label = brute_components({i: brute_fingerprint(t, 5) for i, t in text.items()}, 6)
-    text = {i: t for i, t in text.items() if label[i] == i}
+    kept = brute_kept([(i, t) for i, t in text.items()])
+    text = {i: t for i, t in text.items() if i in kept}
     stages.append(text)
     raw = {i: t.encode() for i, t in text.items()}
     count = Counter(t[i : i + 200] for t in raw.values() for i in range(len(t) - 199))
