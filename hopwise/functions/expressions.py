@@ -52,17 +52,16 @@ def target_side(w: Column, kind: Column) -> Column:
 def printed(value: Column) -> Column:
     """A double with six significant digits and no zeros at the end, exponents of two digits or more."""
     v = value.cast("double")
-    size = F.abs(v)
-    rounded = F.when(size > 0, F.format_string("%.5e", size)).otherwise(F.lit("0.00000e+00"))
-    exponent = F.split(rounded, "e").getItem(1).cast("int")
-    bare = lambda s: F.when(s.contains("."), F.regexp_replace(s, r"\.?0+$", "")).otherwise(s)
-    mantissa = bare(F.split(rounded, "e").getItem(0))
-    scientific = F.concat(mantissa, F.lit("e"), F.when(exponent < 0, "-").otherwise("+"), F.format_string("%02d", F.abs(exponent)))
-    plain = F.lit("0")
-    for e in range(-4, 6):
-        plain = F.when(exponent == e, bare(F.format_string(f"%.{5 - e}f", size))).otherwise(plain)
-    text = F.when((exponent < -4) | (exponent > 5), scientific).otherwise(plain)
-    return F.when(v.isNull(), F.lit(None)).otherwise(F.concat(F.when((v < 0) & (text != "0"), "-").otherwise(""), text))
+    rounded = F.split(F.format_string("%.5e", F.abs(v)), "e")
+    exponent = rounded.getItem(1).cast("int")
+    digits = F.regexp_replace(F.regexp_replace(rounded.getItem(0), r"\.", ""), "0+$", "")
+    pointed = lambda whole, rest: F.concat(whole, F.when(rest != "", F.concat(F.lit("."), rest)).otherwise(""))
+    scientific = F.concat(pointed(F.substring(digits, 1, 1), F.substring(digits, 2, 5)), F.lit("e"), F.when(exponent < 0, "-").otherwise("+"), F.format_string("%02d", F.abs(exponent)))
+    whole = exponent + 1
+    over = pointed(F.rpad(F.substring(digits, F.lit(1), whole), whole, "0"), F.substring(digits, whole + 1, F.lit(6)))
+    under = F.concat(F.lit("0."), F.repeat(F.lit("0"), -whole), digits)
+    text = F.when(digits == "", "0").when((exponent < -4) | (exponent > 5), scientific).when(exponent >= 0, over).otherwise(under)
+    return F.when(v.isNotNull(), F.concat(F.when((v < 0) & (text != "0"), "-").otherwise(""), text))
 
 
 def fixed_distance(distance: Column, bound: float | None = None) -> Column:

@@ -6,9 +6,6 @@ unitig's length less k.
 
 from __future__ import annotations
 
-from functools import reduce
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -99,78 +96,7 @@ def without_nodes(graph: DataFrame, nodes: DataFrame) -> DataFrame:
     return graph.join(n.withColumnRenamed("node", "src"), "src", "left_anti").join(n.withColumnRenamed("node", "dst"), "dst", "left_anti").select(*graph.columns)
 
 
-class Contracted:
-    """A small graph whose chains of degree-2 nodes are one edge each; distances stay what they were.
-
-    chain: node -> (chain, distance to its start, distance to its end, place); ends: chain -> (start, end, length).
-    """
-
-    def __init__(self, neighbours: dict[int, dict[int, float]]) -> None:
-        self.chain: dict[int, tuple[int, float, float, int]] = {}
-        self.ends: list[tuple[int, int, float]] = []
-        self.graph: dict[int, dict[int, float]] = {}
-        inner = {n for n, e in neighbours.items() if len(e) == 2}
-        self.kept = {n for n in neighbours if n not in inner}
-        for n in sorted(self.kept):
-            for m, w in neighbours[n].items():
-                if m in self.kept:
-                    self._edge(n, m, w)
-                elif m not in self.chain:
-                    self._walk(neighbours, n, m, w)
-        for n in sorted(inner):  # what is left are loops without a kept node: one node of each is kept
-            if n not in self.chain and n not in self.kept:
-                self.kept.add(n)
-                m, w = next(iter(neighbours[n].items()))
-                self._walk(neighbours, n, m, w)
-
-    def _edge(self, a: int, b: int, w: float) -> None:
-        for x, y in ((a, b), (b, a)):
-            e = self.graph.setdefault(x, {})
-            e[y] = min(e.get(y, w), w)
-
-    def _walk(self, neighbours: dict[int, dict[int, float]], start: int, node: int, length: float) -> None:
-        way, before, at = [], start, length
-        while node not in self.kept:
-            way.append((node, at))
-            after, w = next((m, w) for m, w in neighbours[node].items() if m != before)
-            before, node, at = node, after, at + w
-        number = len(self.ends)
-        self.ends.append((start, node, at))
-        for place, (n, d) in enumerate(way, 1):
-            self.chain[n] = (number, d, at - d, place)
-        self.graph.setdefault(start, {})
-        if start != node:
-            self._edge(start, node, at)
-
-
-def neighbours_of(edges: pd.DataFrame) -> dict[int, dict[int, float]]:
-    out: dict[int, dict[int, float]] = {}
-    for a, b, w in zip(edges["src"], edges["dst"], edges["weight"], strict=True):
-        out.setdefault(int(a), {})[int(b)] = float(w)
-    return out
-
-
-def contracted_edges(graphs: DataFrame, by: str = "genome_id") -> DataFrame:
-    """by, src, dst, weight: each graph with its chains contracted; a graph is taken as a whole, as one genome's is."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        c = Contracted(neighbours_of(pdf))
-        rows = [(pdf[by].iloc[0], a, b, w) for a, e in c.graph.items() for b, w in e.items()]
-        return pd.DataFrame(rows, columns=[by, "src", "dst", "weight"]).astype({"weight": "float64"})
-
-    return graphs.groupBy(by).applyInPandas(run, f"{by} long, src long, dst long, weight double")
-
-
-def chain_nodes(graphs: DataFrame, by: str = "genome_id") -> DataFrame:
-    """by, node, chain, place, to_start, to_end of every node on a contracted chain."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        c = Contracted(neighbours_of(pdf))
-        rows = [(pdf[by].iloc[0], n, k, p, s, e) for n, (k, s, e, p) in c.chain.items()]
-        return pd.DataFrame(rows, columns=[by, "node", "chain", "place", "to_start", "to_end"]).astype({"to_start": "float64", "to_end": "float64"})
-
-    return graphs.groupBy(by).applyInPandas(run, f"{by} long, node long, chain long, place long, to_start double, to_end double")
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
+def with_edges(graph: DataFrame, edges: DataFrame) -> DataFrame:
+    """The graph with edges (v, w, weight) put in, in both directions; of parallel ones the least weight stays. A node comes with its first edge."""
+    old = graph.where("src < dst").select(F.col("src").alias("v"), F.col("dst").alias("w"), "weight")
+    return normalised(old.unionByName(edges.select("v", "w", F.col("weight").cast("double").alias("weight"))))

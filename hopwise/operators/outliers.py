@@ -91,23 +91,39 @@ def largest_distance(rows: DataFrame, count_threshold: int = 0, bound: float | N
 def automatic_ld(rows: DataFrame, low: int, high: int, required: float, p: Parameters, nth: int, bound: float | None = None) -> Parameters:
     """Bisect [low, high]: at a middle where the nth largest vertex score is under `required` the upper end moves there, else the lower.
 
-    What the last middle gave stays, whichever way it went. Each probe is one aggregate of the largest distance of each
-    (vertex, score), which is made once.
+    What the last middle gave stays, whichever way it went. What decides is known of each vertex in one pass: its
+    largest distance of all, and its largest with a score of `required` or more. Where more than nth vertices reach a
+    middle, the nth largest score is high enough if more than nth do with such a score; where fewer do, if all do. So
+    the nth + 1 largest of either kind settle every step, and the scores are read again for the last middle alone.
     """
     far = F.coalesce("distance", F.lit(-1.0 if bound is None else float(bound)))
-    small = counted(rows, p.count_threshold).select(F.explode(F.array("v", "w")).alias("v"), "score", far.alias("distance"))
-    small = small.where("score > 0").groupBy("v", "score").agg(F.max("distance").alias("distance")).select("v", F.col("v").alias("w"), "score", "distance").cache()
+    kept = counted(rows, p.count_threshold).where("score > 0").select(F.explode(F.array("v", "w")).alias("vertex"), "score", far.alias("far"))
+    each = kept.groupBy("vertex").agg(F.max("far").alias("far"), F.max(F.when(F.col("score") >= required, F.col("far"))).alias("enough"))
+    each = each.cache()
     try:
-        q = replace(p, count_threshold=0)
-        while high - low > 1:
-            mid = (low + high) // 2
-            q = replace(calculated(small, mid, q, nth), probes=q.probes + 1)
-            low, high = (low, mid) if q.max_score < required else (mid, high)
+        enough = [r[0] for r in each.where("enough is not null").orderBy(F.desc("enough")).limit(nth + 1).select("enough").collect()]
+        farthest = [(r[0], r[1]) for r in each.orderBy(F.desc("far")).limit(nth + 1).select("far", "enough").collect()]
     finally:
-        small.unpersist()
-    if not q.probes:
+        each.unpersist()
+
+    def low_score(mid: int) -> bool:
+        there = [x for d, x in farthest if d >= mid]
+        if required <= 0 or not there:
+            return required > 0
+        return not all(x is not None and x >= mid for x in there) if len(there) <= nth else not (len(enough) > nth and enough[nth] >= mid)
+
+    middles = []
+    while high - low > 1:
+        middles.append((low + high) // 2)
+        low, high = (low, middles[-1]) if low_score(middles[-1]) else (middles[-1], high)
+    if not middles:
         log.warning("no distance to search; every row with a score of -1 or more is an outlier")
-    return replace(q, count_threshold=p.count_threshold)
+        return p
+    scored = [m for m in middles if farthest and farthest[0][0] >= m]  # a middle without scores leaves the fences as they were
+    q = calculated(rows, scored[-1], p, nth, bound) if scored else p
+    if not scored or scored[-1] != middles[-1]:
+        q = replace(q, ld_distance=middles[-1], max_score=0.0)
+    return replace(q, probes=len(middles))
 
 
 def parameters(rows: DataFrame, ld: int | None = None, ld_min: int = 1000, ld_score: float = 0.8, nth: int = 10, threshold: float | None = None, count_threshold: int = 0, bound: float | None = None) -> Parameters:

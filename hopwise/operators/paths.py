@@ -76,7 +76,7 @@ class Search:
         return out
 
 
-def _by_source(jobs: pd.DataFrame, search: Search, bound: float | None) -> pd.DataFrame:
+def by_source(jobs: pd.DataFrame, search: Search, bound: float | None) -> pd.DataFrame:
     found = []
     for source, group in jobs.groupby("source", sort=False):
         d = search.distances(int(source), group["target"].tolist(), bound)
@@ -85,8 +85,11 @@ def _by_source(jobs: pd.DataFrame, search: Search, bound: float | None) -> pd.Da
 
 
 def broadcast_paths(graph: DataFrame, jobs: DataFrame, bound: float | None, two_sided: bool) -> DataFrame:
-    """The graph goes to every executor; each task searches from its share of the sources."""
-    edges = graph.select("src", "dst", "weight").toPandas()  # its size is checked by the caller
+    """The graph goes to every executor; each task searches from its share of the sources. A graph of over BROADCAST_EDGES is refused."""
+    few = graph.select("src", "dst", "weight").limit(BROADCAST_EDGES + 1)
+    edges = few.toPandas()
+    if len(edges) > BROADCAST_EDGES:
+        raise ValueError(f"over {BROADCAST_EDGES} edges are not broadcast; use the frontier strategy")
     compact = graph.sparkSession.sparkContext.broadcast(Compact(edges["src"].to_numpy(), edges["dst"].to_numpy(), edges["weight"].to_numpy(float)))
     n = max(1, jobs.select("source").distinct().count() // SOURCES_A_TASK)
 
@@ -95,16 +98,16 @@ def broadcast_paths(graph: DataFrame, jobs: DataFrame, bound: float | None, two_
         for f in frames:  # sorted by source; a source that a batch breaks off is carried on
             held = f if held is None else pd.concat([held, f])
             last = held["source"].iloc[-1] if len(held) else None
-            yield _by_source(held[held["source"] != last], search, bound)
+            yield by_source(held[held["source"] != last], search, bound)
             held = held[held["source"] == last]
         if held is not None and len(held):
-            yield _by_source(held, search, bound)
+            yield by_source(held, search, bound)
 
     dealt = jobs.repartition(min(n, 10_000), "source").sortWithinPartitions("source")
     return dealt.mapInPandas(run, "idx long, distance double")
 
 
-def frontier_paths(graph: DataFrame, jobs: DataFrame, bound: float | None, two_sided: bool, cut_every: int = 4) -> DataFrame:
+def frontier_paths(graph: DataFrame, jobs: DataFrame, bound: float | None, two_sided: bool) -> DataFrame:
     """For graphs that no executor can hold: all searches advance together, one edge a round, as joins and minima.
 
     A round joins the nodes whose distance fell with their edges and keeps what improves. A source's search goes on only
@@ -113,11 +116,12 @@ def frontier_paths(graph: DataFrame, jobs: DataFrame, bound: float | None, two_s
     node = F.explode(F.array(F.col("source") * 2, F.col("source") * 2 + 1)) if two_sided else F.col("source")
     vertex = F.shiftright("node", 1) if two_sided else F.col("node")
     best = jobs.select("source").distinct().select("source", node.alias("node")).withColumn("d", F.lit(0.0))
-    frontier, rounds = best, 0
-    targets = checkpointed(jobs.select("source", F.col("target").alias("vertex")).distinct())
+    frontier = best = checkpointed(best)
+    reach = checkpointed(jobs.select("source", F.col("target").alias("vertex")).distinct().withColumn("d", F.lit(None).cast("double")))
     while True:
-        rounds += 1
-        reach = targets.join(best.withColumn("vertex", vertex), ["source", "vertex"], "left").groupBy("source", "vertex").agg(F.min("d").alias("d"))
+        # targets are reached by what fell last alone; what was known of them stays
+        fell = frontier.withColumn("vertex", vertex).groupBy("source", "vertex").agg(F.min("d").alias("now"))
+        reach = checkpointed(reach.join(fell, ["source", "vertex"], "left").select("source", "vertex", F.least("d", "now").alias("d")))
         limit = reach.groupBy("source").agg(F.when(F.count("d") == F.count("*"), F.max("d")).alias("limit"))
         step = frontier.join(graph, frontier["node"] == graph["src"]).select("source", F.col("dst").alias("node"), (F.col("d") + F.col("weight")).alias("d"))
         if bound is not None:
@@ -127,11 +131,9 @@ def frontier_paths(graph: DataFrame, jobs: DataFrame, bound: float | None, two_s
         frontier = checkpointed(step.join(known, ["source", "node"], "left").where(F.col("old").isNull() | (F.col("d") < F.col("old"))).drop("old"))
         if not frontier.limit(1).count():
             break
-        best = best.union(frontier).groupBy("source", "node").agg(F.min("d").alias("d"))
-        if rounds % cut_every == 0:
-            best = checkpointed(best)
-    reached = best.withColumn("target", vertex).groupBy("source", "target").agg(F.min("d").alias("distance"))
-    return jobs.join(reached, ["source", "target"]).select("idx", "distance")
+        best = checkpointed(best.union(frontier).groupBy("source", "node").agg(F.min("d").alias("d")))
+    found = reach.where("d is not null").select("source", F.col("vertex").alias("target"), F.col("d").alias("distance"))
+    return jobs.join(found, ["source", "target"]).select("idx", "distance")
 
 
 def shortest_paths(graph: DataFrame, jobs: DataFrame, max_distance: float | None = None, two_sided: bool = False, strategy: str = "auto", broadcast_edges: int = BROADCAST_EDGES) -> DataFrame:

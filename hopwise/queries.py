@@ -6,19 +6,23 @@ The tables are read as graphs: nations joined by orders (general graph), documen
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hopwise.functions.expressions import left_node, other_side, right_node, unitig_of, weight_or_one
+from hopwise.lineage import shared_folder
+from hopwise.operators import chains as C
 from hopwise.operators import distances as D
 from hopwise.operators import graph as G
 from hopwise.operators import outliers as O
 from hopwise.operators.paths import shortest_paths
 from hopwise.plans.jobs import oriented_jobs, query_counts
+from hopwise.sources import readers as R
 from hopwise.sources.readers import query_columns
-from hopwise.sources.writers import result_lines, result_rows, stats_frame
+from hopwise.sources.writers import result_lines, result_rows, stats_frame, write_outliers, write_results
 
 K = 3
 BOUND, GENERAL_BOUND, LD, COUNT, CUSTOM = 4000.0, 2.0, 1000, 10, 0.9
@@ -87,6 +91,18 @@ def scored(s: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def steep(rows: DataFrame) -> DataFrame:
+    """The rows with their score's 32nd power, whose largest values are outliers."""
+    for _ in range(5):
+        rows = rows.withColumn("score", F.col("score") * F.col("score"))
+    return rows
+
+
+def with_holes(rows: DataFrame) -> DataFrame:
+    """The rows without a distance where the supplier's number divides by seven."""
+    return rows.withColumn("distance", F.when((F.col("w") - 1_000_000) % 7 != 0, F.col("distance")))
+
+
 def numbered(s: SparkSession, sf: str) -> DataFrame:
     """The scored rows with idx, their place by order, line, part, supplier and price: a rank within an order after the rows of the orders before."""
     rows = scored(s, sf)
@@ -223,8 +239,29 @@ def genome_average_sizes(s, sf):
     return D.average_sizes(_genome_graphs(s, sf))
 
 
+def graph_additions(s, sf):
+    """The general graph with edges between a nation and the one seven after, and to a node that was not there."""
+    n = table(s, sf, "nation").select(F.col("n_nationkey").cast("long").alias("v"))
+    return G.with_edges(G.normalised(general_edges(s, sf)), n.select("v", (F.col("v") + 7).alias("w"), F.lit(0.5).alias("weight")))
+
+
 def path_contraction(s, sf):
-    return G.contracted_edges(_genome_graphs(s, sf))
+    return C.contracted_edges(C.contracted(_genome_graphs(s, sf)))
+
+
+def chain_places(s, sf):
+    return C.chain_places(C.contracted(_genome_graphs(s, sf)))
+
+
+def chain_distances(s, sf):
+    """The two sides of a unitig where they lie on one chain."""
+    g = _genome_graphs(s, sf)
+    sides = G.genome_members(genome_links(s, sf)).select("genome_id", left_node(F.col("unitig")).alias("v"), right_node(F.col("unitig")).alias("w"))
+    return C.distances_on_chains(C.contracted(g), sides)
+
+
+def contracted_average_sizes(s, sf):
+    return D.average_sizes(path_contraction(s, sf))
 
 
 def vertex_max_score(s, sf):
@@ -247,7 +284,7 @@ def tukey_thresholds(s, sf):
 
 
 def _automatic(s, sf):
-    rows = numbered(s, sf)
+    rows = steep(numbered(s, sf))
     return rows, O.parameters(rows, ld_min=LD)
 
 
@@ -258,8 +295,8 @@ def ld_auto_search(s, sf):
 
 
 def outlier_rows_fixed_ld(s, sf):
-    rows = numbered(s, sf)
-    return O.collected(rows, O.parameters(rows, ld=2000, count_threshold=COUNT))
+    rows = steep(numbered(s, sf))
+    return O.collected(rows, O.parameters(rows, ld=LD, count_threshold=COUNT))
 
 
 def outlier_rows_auto_ld(s, sf):
@@ -293,11 +330,92 @@ def result_lines_cdbg(s, sf):
 
 
 def plot_points(s, sf):
-    return O.plot_points(numbered(s, sf), COUNT)
+    return O.plot_points(with_holes(numbered(s, sf)), COUNT)
 
 
 def plot_summary(s, sf):
-    return O.plot_summary(O.plot_points(scored(s, sf).withColumn("idx", F.lit(0)), COUNT))
+    return O.plot_summary(O.plot_points(with_holes(scored(s, sf)).withColumn("idx", F.lit(0)), COUNT))
+
+
+# ---- the text formats: the tables are written as their files and read again
+
+
+def _file(s: SparkSession, lines: DataFrame, *order: str) -> str:
+    """The path of a text file of the lines; with an order, in one part."""
+    path = f"{shared_folder(s)}/text-{uuid.uuid4().hex}"
+    (lines.orderBy(*order).select("line").coalesce(1) if order else lines.select("line")).write.text(path)
+    return path
+
+
+def _line(*cols) -> F.Column:
+    return F.concat_ws(" ", *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in cols]).alias("line")
+
+
+def text_general_edges(s, sf):
+    """One-based, every third line without a weight and every third with a word for it."""
+    e = table(s, sf, "lineitem")
+    weight = F.when(F.col("l_linenumber") % 3 == 0, F.lit(None)).when(F.col("l_linenumber") % 3 == 1, F.lit("x")).otherwise((F.col("l_quantity") / 4).cast("string"))
+    return R.read_general_edges(s, _file(s, e.select(_line(F.col("l_partkey") + 1, F.col("l_suppkey") + 1, weight))), True)
+
+
+def text_unitigs(s, sf):
+    docs = table(s, sf, "documents").select("doc_id", _line(F.concat(F.lit("u"), F.col("doc_id")), F.repeat(F.lit("ACGT"), (F.col("doc_id") % 9 + 1).cast("int"))))
+    return R.read_unitigs(s, _file(s, docs, "doc_id"), K)
+
+
+def text_cdbg_edges(s, sf):
+    """Links, every fifth without its overlap."""
+    links = all_links(s, sf)
+    return R.read_cdbg_edges(s, _file(s, links.select(_line("v", "w", "edge_type", F.when(F.col("v") % 5 != 0, F.col("overlap"))))))
+
+
+def text_genomes(s, sf):
+    """Four files of links, one of them listed twice, named by a file of paths."""
+    links, files = genome_links(s, sf), []
+    for g in range(4):
+        path = _file(s, links.where(F.col("genome_id") == g).select("v", "w", "edge_type", _line("v", "w", "edge_type", "overlap")), "v", "w", "edge_type")
+        files.append(s.read.text(path).select("_metadata.file_path").first()[0])
+    named = _file(s, s.createDataFrame(list(enumerate([*files, files[0]])), "i int, line string"), "i")
+    return R.read_genome_edges(s, R.read_genome_paths(s, named)).groupBy("v", "w", "edge_type", "overlap").agg(F.countDistinct("genome_id").alias("genomes"))
+
+
+def _query_text(s, sf, fmt: int) -> str:
+    """The numbered rows as a file of that format."""
+    cols = {"flag": F.col("flag").cast("int"), "distance": F.col("distance").cast("long")}
+    return _file(s, numbered(s, sf).select("idx", _line(*[cols.get(c, F.col(c)) for c in R.FORMAT_NAMES[fmt].split(" ")])), "idx")
+
+
+def text_queries(fmt: int) -> Callable[[SparkSession, str], DataFrame]:
+    """The first thousand queries of a file whose format is told from its first line."""
+    return lambda s, sf: R.read_queries(s, _query_text(s, sf, fmt), None, False, 1000, fmt >= 4)
+
+
+def text_plot_rows(s, sf):
+    """Written rows of format 5 with a file of their counts."""
+    rows = numbered(s, sf)
+    counts = _file(s, rows.select("idx", _line("count")), "idx")
+    return R.read_plot_rows(s, _query_text(s, sf, 3), counts, 2000)
+
+
+def _read_lines(s: SparkSession, path: str) -> DataFrame:
+    return R.numbered_lines(s, path).select(F.col("idx").alias("place"), F.concat_ws(" ", "f").alias("line"))
+
+
+def text_results(s, sf):
+    """The results of the two-sided graph as written, one-based, with the place of each line in the file."""
+    path = f"{shared_folder(s)}/text-{uuid.uuid4().hex}"
+    write_results(_cdbg(s, sf, BOUND), path, True, BOUND, single=True)
+    return _read_lines(s, path)
+
+
+def text_outliers(s, sf):
+    """The line of the statistics file, and how many outliers are beside it."""
+    path = f"{shared_folder(s)}/text-{uuid.uuid4().hex}"
+    rows = numbered(s, sf)
+    p = O.parameters(rows, ld=LD, threshold=CUSTOM, count_threshold=COUNT)
+    write_outliers(O.collected(rows, p), p, f"{path}/rows", f"{path}/stats")
+    n = s.read.text(f"{path}/rows").agg(F.count("*").alias("outliers"))
+    return s.read.text(f"{path}/stats").select(F.col("value").alias("line")).join(F.broadcast(n))  # one row each
 
 
 def _format(fmt: int) -> Callable[[SparkSession, str], DataFrame]:
@@ -311,11 +429,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         distance_general, distance_general_bounded, distance_cdbg, distance_cdbg_bounded, distance_frontier, self_and_missing_pairs, genome_membership, genome_subgraph_edges,
         genome_distance_long, genome_mean_distance, genome_variance, genome_average_sizes, path_contraction, vertex_max_score, score_quartiles, nth_max_score, tukey_thresholds,
         ld_auto_search, outlier_rows_fixed_ld, outlier_rows_auto_ld, outlier_rows_custom_threshold, query_value_summary, largest_distance, result_rows_cdbg, result_rows_genomes,
-        result_lines_cdbg, plot_points, plot_summary,
+        result_lines_cdbg, plot_points, plot_summary, graph_additions, chain_places, chain_distances, contracted_average_sizes,
+        text_general_edges, text_unitigs, text_cdbg_edges, text_genomes, text_plot_rows, text_results, text_outliers,
     )
 }
 QUERIES["cdbg_two_sided_edges"] = cdbg_graph
 QUERIES |= {f"query_format_{i}": _format(i) for i in range(6)}
+QUERIES |= {f"text_queries_{i}": text_queries(i) for i in range(6)}
 
 
 # ---- SQL
@@ -368,6 +488,13 @@ p AS (SELECT r.g AS genome_id, qs.idx, min(r.d) AS distance FROM qs JOIN r ON r.
 s AS (
   SELECT qs.idx, qs.v, qs.w, avg(distance) AS distance, count(distance) AS "count", regr_sxx(distance, distance) AS m2, min(distance) AS min_distance, max(distance) AS max_distance,
     var_samp(distance) AS variance FROM qs LEFT JOIN p USING (idx) GROUP BY qs.idx, qs.v, qs.w)"""
+_WALK = f"""{_GG},
+k AS (SELECT g, a AS node, count(*) AS d FROM u GROUP BY ALL),
+w(g, s, p, node, d) AS (
+  SELECT u.g, u.a, u.a, u.b, u.wt FROM u JOIN k ON k.g = u.g AND k.node = u.a AND k.d <> 2 UNION ALL
+  SELECT w.g, w.s, w.node, u.b, w.d + u.wt FROM w JOIN k ON k.g = w.g AND k.node = w.node AND k.d = 2 JOIN u ON u.g = w.g AND u.a = w.node AND u.b <> w.p),
+ce AS (SELECT w.g, w.s, w.node, min(w.d) AS d FROM w JOIN k ON k.g = w.g AND k.node = w.node AND k.d <> 2 WHERE w.s <> w.node GROUP BY ALL),
+cn AS (SELECT w.g, w.node, min((w.s, w.d)) AS x, max((w.s, w.d)) AS y FROM w JOIN k ON k.g = w.g AND k.node = w.node AND k.d = 2 GROUP BY ALL)"""
 _S = """sc AS (
   SELECT l_partkey AS v, l_suppkey + 1000000 AS w, abs(date_diff('day', o_orderdate::DATE, l_shipdate::DATE))::DOUBLE AS distance, l_returnflag = 'R' AS flag,
     l_extendedprice / 100000.0::DOUBLE * (1.0::DOUBLE - l_discount) AS score, l_quantity::BIGINT AS "count",
@@ -379,6 +506,8 @@ def _vertices(ld: int) -> str:
   SELECT v AS x, score FROM sc WHERE "count" >= {COUNT} AND distance >= {ld} UNION ALL SELECT w, score FROM sc WHERE "count" >= {COUNT} AND distance >= {ld}) GROUP BY x HAVING max(score) > 0)"""
 
 
+_STEEP = _S.replace("AS score,", "AS x, x * x AS x2, x2 * x2 AS x4, x4 * x4 AS x8, x8 * x8 AS x16, x16 * x16 AS score,")
+_HOLES = _S.replace("::DOUBLE AS distance", "::DOUBLE AS d, CASE WHEN l_suppkey % 7 <> 0 THEN d ELSE -1 END AS distance")
 _Q = "q AS (SELECT len(l) AS n, l[least(len(l) - 1, len(l) // 4) + 1] AS q1, l[least(len(l) - 1, 3 * len(l) // 4) + 1] AS q3, l[len(l) - least(len(l) - 1, 10)] AS nth FROM (SELECT list_sort(list(score)) AS l FROM vs))"
 _LD = f"""{_S},
 oq AS (SELECT v AS x, score AS s, distance AS d FROM sc UNION ALL SELECT w, score, distance FROM sc),
@@ -394,6 +523,8 @@ r(it, a, b, ld, ms, q1, q3) AS (
 z AS (SELECT it AS probes, ld AS ld_distance, ms AS max_score, q1, q3, q3 + 1.5::DOUBLE * (q3 - q1) AS outlier_threshold, q3 + 3.0::DOUBLE * (q3 - q1) AS extreme_threshold FROM r ORDER BY it DESC LIMIT 1)"""
 _COLS = 'idx, v, w, distance, flag, score, "count"'
 _FORMATS = {0: "idx, v, w", 1: "idx, v, w, score", 2: "idx, v, w, score", 3: "idx, v, w, flag, score", 4: 'idx, v, w, distance, score, "count"', 5: _COLS}
+_NONE = "CASE WHEN v = w THEN '1.79769e+308' ELSE '" + f"{BOUND:g}" + "' END"
+_RESULT = "concat_ws(' ', v + {{base}}, w + {{base}}, coalesce(distance, -1)::BIGINT, 0, CASE WHEN distance IS NULL THEN {none} WHEN distance = 0 THEN '1.79769e+308' ELSE distance::BIGINT::VARCHAR END, CASE WHEN distance IS NULL THEN {none} ELSE distance::BIGINT::VARCHAR END)".format(none=_NONE)
 _NUM = r"'^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$'"
 _weight = lambda c: f"CASE WHEN regexp_matches({c}, {_NUM}) THEN {c}::DOUBLE ELSE 1.0::DOUBLE END"
 
@@ -430,8 +561,8 @@ SELECT CASE WHEN (a.n, v) > (b.n, w) THEN v ELSE w END AS source, CASE WHEN (a.n
     "tukey_thresholds": f"""WITH {_S}, {_vertices(LD)}, {_Q} SELECT {LD}::BIGINT AS ld_distance, round(q3 + 1.5::DOUBLE * (q3 - q1), 6) AS outlier_threshold,
   round(q3 + 3.0::DOUBLE * (q3 - q1), 6) AS extreme_outlier_threshold, {COUNT}::BIGINT AS count_threshold FROM q""",
     "ld_auto_search": f"WITH RECURSIVE {_LD} SELECT probes, ld_distance, max_score, q1, q3, round(outlier_threshold, 6) AS outlier_threshold, round(extreme_threshold, 6) AS extreme_threshold FROM z",
-    "outlier_rows_fixed_ld": f'WITH {_S}, {_vertices(2000)}, {_Q} SELECT {_COLS} FROM sc, q WHERE "count" >= {COUNT} AND distance >= 2000 AND score >= q3 + 1.5::DOUBLE * (q3 - q1)',
-    "outlier_rows_auto_ld": f"WITH RECURSIVE {_LD} SELECT {_COLS} FROM sc, z WHERE distance >= ld_distance AND score >= outlier_threshold",
+    "outlier_rows_fixed_ld": f'WITH {_STEEP}, {_vertices(LD)}, {_Q} SELECT {_COLS} FROM sc, q WHERE "count" >= {COUNT} AND distance >= {LD} AND score >= q3 + 1.5::DOUBLE * (q3 - q1)',
+    "outlier_rows_auto_ld": f"WITH RECURSIVE {_LD.replace(_S, _STEEP)} SELECT {_COLS} FROM sc, z WHERE distance >= ld_distance AND score >= outlier_threshold",
     "outlier_rows_custom_threshold": f'WITH {_S} SELECT {_COLS} FROM sc WHERE "count" >= {COUNT} AND distance >= {LD} AND score >= {CUSTOM}::DOUBLE',
     "query_value_summary": f"""WITH {_S}, {_vertices(LD)}, e AS (SELECT v AS x FROM sc UNION ALL SELECT w FROM sc), n AS (SELECT count(DISTINCT x) AS n_vertices, max(x) AS largest_vertex FROM e)
 SELECT (SELECT count(*) FROM vs) AS covered, n_vertices, round(100.0::DOUBLE * (SELECT count(*) FROM vs) / n_vertices, 6) AS percent, (SELECT greatest(0.0::DOUBLE, max(score)) FROM sc) AS largest_score, largest_vertex FROM n""",
@@ -439,8 +570,23 @@ SELECT (SELECT count(*) FROM vs) AS covered, n_vertices, round(100.0::DOUBLE * (
     "result_rows_cdbg": f"""WITH d AS ({_distance(_C, _CQ, True, BOUND)})
 SELECT idx, v + 1 AS v, w + 1 AS w, coalesce(distance, -1)::BIGINT AS distance, 0.0::DOUBLE AS m2, distance AS min_distance, distance AS max_distance FROM d""",
     "result_rows_genomes": f"""{_GD} SELECT idx, v, w, coalesce(trunc(distance), -1)::BIGINT AS distance, "count", round(coalesce(m2, -1), 6) AS m2, coalesce(min_distance, -1) AS min_distance, coalesce(max_distance, -1) AS max_distance FROM s""",
-    "plot_points": f'WITH {_S} SELECT idx, v, w, distance, score, flag AS direct, true AS connected FROM sc WHERE "count" >= {COUNT}',
-    "plot_summary": f"""WITH {_S}, p AS (SELECT * FROM sc WHERE "count" >= {COUNT})
-SELECT count(*) // 1000 AS rows_k, count(*) // 1000 AS connected_k, 0::BIGINT AS disconnected_k, count(*) FILTER (flag) // 1000 AS direct_k, min(score) AS min_score, max(score) AS max_score,
+    "plot_points": f'WITH {_HOLES} SELECT idx, v, w, distance, score, flag AS direct, distance >= 0 AS connected FROM sc WHERE "count" >= {COUNT}',
+    "plot_summary": f"""WITH {_HOLES}, p AS (SELECT * FROM sc WHERE "count" >= {COUNT})
+SELECT count(*) // 1000 AS rows_k, count(*) FILTER (distance >= 0) // 1000 AS connected_k, count(*) FILTER (distance < 0) // 1000 AS disconnected_k, count(*) FILTER (flag) // 1000 AS direct_k, min(score) AS min_score, max(score) AS max_score,
   max(distance) AS max_distance, round(log10(max(distance)))::BIGINT - 1 AS exponent FROM p""",
-} | {f"query_format_{i}": f"WITH {_S} SELECT {c} FROM sc" for i, c in _FORMATS.items()}
+    "graph_additions": f"""WITH {_G}, x AS (SELECT a, b, wt FROM g1 UNION ALL SELECT n_nationkey, n_nationkey + 7, 0.5::DOUBLE FROM nation), y AS (SELECT a, b, min(wt) AS wt FROM x GROUP BY a, b)
+SELECT a::BIGINT AS src, b::BIGINT AS dst, wt AS weight FROM y UNION ALL SELECT b, a, wt FROM y""",
+    "path_contraction": f"WITH RECURSIVE {_WALK} SELECT g AS genome_id, s AS src, node AS dst, d AS weight FROM ce",
+    "chain_places": f'WITH RECURSIVE {_WALK} SELECT g AS genome_id, node, x[1] AS "first", y[1] AS "last", x[2] AS to_first, y[2] AS to_last FROM cn',
+    "chain_distances": f"""WITH RECURSIVE {_WALK} SELECT a.g AS genome_id, a.node AS v, b.node AS w, c.wt AS distance
+FROM cn a JOIN cn b ON b.g = a.g AND b.node = a.node + 1 AND a.node % 2 = 0 JOIN u c ON c.g = a.g AND c.a = a.node AND c.b = b.node""",
+    "contracted_average_sizes": f"WITH RECURSIVE {_WALK}, e AS (SELECT g, count(DISTINCT s) AS n, count(*) // 2 AS e FROM ce GROUP BY g) SELECT floor(avg(n))::BIGINT AS avg_nodes, floor(avg(e))::BIGINT AS avg_edges FROM e",
+    "result_lines_cdbg": f"WITH d AS ({_distance(_C, _CQ, True, BOUND)}) SELECT idx, {_RESULT.format(base=0)} AS line FROM d",
+    "text_results": f"WITH d AS ({_distance(_C, _CQ, True, BOUND)}) SELECT row_number() OVER (ORDER BY idx) - 1 AS place, {_RESULT.format(base=1)} AS line FROM d",
+    "text_outliers": f"""WITH {_S} SELECT concat_ws(' ', {LD}, '{CUSTOM}', '{CUSTOM}', {COUNT}) AS line, count(*) AS outliers FROM sc WHERE "count" >= {COUNT} AND distance >= {LD} AND score >= {CUSTOM}::DOUBLE""",
+    "text_general_edges": "SELECT l_partkey AS v, l_suppkey AS w, CASE WHEN l_linenumber % 3 = 2 THEN l_quantity / 4 ELSE 1.0 END::DOUBLE AS weight FROM lineitem",
+    "text_unitigs": f"SELECT row_number() OVER (ORDER BY doc_id) - 1 AS unitig, (doc_id % 9 + 1) * 4 - {K} AS self_weight FROM documents",
+    "text_cdbg_edges": f"WITH {_N}, {_LINKS} SELECT v, w, t AS edge_type, CASE WHEN v % 5 <> 0 THEN o END::BIGINT AS overlap FROM l",
+    "text_genomes": f"WITH {_GL} SELECT v, w, t AS edge_type, 19::BIGINT AS overlap, count(DISTINCT g) + max((g = 0)::BIGINT) AS genomes FROM gl GROUP BY v, w, t",
+    "text_plot_rows": f'WITH {_S} SELECT idx, v, w, distance, flag, score, "count" FROM sc WHERE idx < 2000',
+} | {f"query_format_{i}": f"WITH {_S} SELECT {c} FROM sc" for i, c in _FORMATS.items()} | {f"text_queries_{i}": f"WITH {_S} SELECT {c} FROM sc WHERE idx < 1000" for i, c in _FORMATS.items()}

@@ -105,14 +105,19 @@ def read_genome_paths(spark: SparkSession, path: str) -> list[str]:
     return paths
 
 
+def _raw_path(spark: SparkSession, path: str) -> str:
+    """The path without scheme and host, as Spark reports it of a row's file."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toUri().getRawPath()
+
+
 def read_genome_edges(spark: SparkSession, paths: list[str], one_based: bool = False) -> DataFrame:
     """genome_id, v, w, edge_type, overlap of all files in one scan."""
     for p in set(paths):
         check_file(spark, p)
-    name = F.regexp_replace(F.col("_metadata.file_path"), r"^[a-z]+:/+", "/")
+    name = F.regexp_replace(F.col("_metadata.file_path"), r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?(?=/)", "")
     lines = spark.read.text(sorted(set(paths))).select(name.alias("path"), fields(F.col("value")).alias("f"))
-    bare = [(i, "/" + p.split(":", 1)[-1].lstrip("/") if "://" in p or p.startswith("/") else spark._jvm.java.io.File(p).getAbsolutePath()) for i, p in enumerate(paths)]
-    listed = spark.createDataFrame(bare, "genome_id long, path string")
+    listed = spark.createDataFrame([(i, _raw_path(spark, p)) for i, p in enumerate(paths)], "genome_id long, path string")
     return _links(lines.join(F.broadcast(listed), "path").select("genome_id", "f"), "genome edges", one_based, "genome_id")  # one row a genome
 
 

@@ -7,7 +7,8 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from hopwise.operators import distances, graph
+from hopwise.operators import chains, distances, graph
+from hopwise.operators import paths
 from hopwise.operators.paths import frontier_paths, shortest_paths
 from hopwise.plans.jobs import greedy_plan, oriented_jobs, plan_jobs
 from hopwise.plans.options import Mode, Options, parse
@@ -180,7 +181,7 @@ def test_contraction_keeps_distances(raw):
         if a != b:
             for x, y in ((a, b), (b, a)):
                 n.setdefault(x, {})[y] = min(w, n.get(x, {}).get(y, w))
-    c = graph.Contracted(n)
+    c = chains.Contracted(n)
     flat = lambda g: [(a, b, float(w)) for a, e in g.items() for b, w in e.items()]
     for s in c.kept:
         full, short = dijkstra(flat(n), s, False), dijkstra(flat(c.graph), s, False)
@@ -191,6 +192,44 @@ def test_contraction_keeps_distances(raw):
             assert min(short.get(a, math.inf) + to_start, short.get(b, math.inf) + to_end) == full.get(node, math.inf)
 
 
+@settings(max_examples=150, deadline=None, suppress_health_check=[HealthCheck.too_slow])
+@given(st.lists(st.tuples(st.integers(0, 11), st.integers(0, 11), st.integers(1, 5)), min_size=1, max_size=18), st.sampled_from([None, 4.0, 9.0]))
+def test_search_on_chains_is_that_of_the_whole_graph(raw, bound):
+    n = {}
+    for a, b, w in [*raw, *((2 * u, 2 * u + 1, 3) for u in range(6))]:
+        if a != b:
+            for x, y in ((a, b), (b, a)):
+                n.setdefault(x, {})[y] = min(w, n.get(x, {}).get(y, w))
+    c = chains.Contracted(n)
+    flat = [(a, b, float(w)) for a, e in n.items() for b, w in e.items()]
+    places = {node: (k, *c.ends[k][:2], to_first, to_last) for node, (k, to_first, to_last, _) in c.chain.items()}
+    search = chains.ChainSearch([(a, b, w) for a, e in c.graph.items() for b, w in e.items()], places)
+    for v in range(6):
+        full = dijkstra(flat, v, True)
+        want = {t: d for t, d in full.items() if t != v and (bound is None or d < bound)}
+        assert search.distances(v, [t for t in range(6) if t != v], bound) == want
+
+
+def test_chain_tables(spark):
+    """A chain 1-4-5-6-2 between nodes of three neighbours, and a closed loop 20-21-22."""
+    links = [(1, 2, 9), (1, 3, 1), (2, 3, 1), (1, 4, 2), (4, 5, 3), (5, 6, 4), (6, 2, 5), (20, 21, 1), (21, 22, 2), (22, 20, 4)]
+    g = graph.normalised(spark.createDataFrame([(0, a, b, float(w)) for a, b, w in links], "genome_id long, v long, w long, weight double"), "genome_id")
+    parts = chains.contracted(g).cache()
+    assert rows(chains.contracted_edges(parts).where("src < dst")) == [(0, 1, 2, 2.0)]  # 1-3-2 is the shortest of three ways
+    assert [r[1:] for r in rows(chains.chain_places(parts))] == [(3, 1, 2, 1.0, 1.0), (4, 1, 2, 2.0, 12.0), (5, 1, 2, 5.0, 9.0), (6, 1, 2, 9.0, 5.0), (21, 20, 20, 1.0, 6.0), (22, 20, 20, 3.0, 4.0)]
+    pairs = spark.createDataFrame([(0, 4, 6), (0, 3, 6), (0, 22, 21)], "genome_id long, v long, w long")
+    assert rows(chains.distances_on_chains(parts, pairs)) == [(0, 4, 6, 7.0), (0, 22, 21, 2.0)]
+
+
+def test_a_large_graph_is_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(paths, "BROADCAST_EDGES", 3)
+    g = graph.normalised(spark.createDataFrame([(0, 1, 1.0), (1, 2, 1.0)], "v long, w long, weight double"))
+    jobs = spark.createDataFrame([(0, 2, 0)], "source long, target long, idx long")
+    with pytest.raises(ValueError, match="broadcast"):
+        shortest_paths(g, jobs, strategy="broadcast").count()
+    assert rows(shortest_paths(g, jobs, broadcast_edges=3)) == [(0, 2.0)]
+
+
 def test_general_merge_of_summaries_and_genome_tasks(spark, monkeypatch):
     from hopwise.streaming.genomes import merged_summaries
 
@@ -218,6 +257,7 @@ def test_graph_helpers(spark):
     assert rows(graph.has_edges(g, spark.createDataFrame([(1, 2), (0, 2)], "v long, w long"))) == [(0, 2, None), (1, 2, 3.0)]
     assert rows(graph.without_edges(g, spark.createDataFrame([(1, 0)], "v long, w long"))) == [(1, 2, 3.0), (2, 1, 3.0)]
     assert rows(graph.without_nodes(g, nodes)) == [(1, 2, 3.0), (2, 1, 3.0)]
+    assert rows(graph.with_edges(g, spark.createDataFrame([(2, 1, 1.0), (5, 0, 4.0), (3, 3, 1.0)], "v long, w long, weight double")).where("src < dst")) == [(0, 1, 2.0), (0, 5, 4.0), (1, 2, 1.0)]
     assert tuple(graph.profile(g, False).first()) == (3, 2, pytest.approx(4 / 3), 2)
 
 
