@@ -17,7 +17,8 @@ RID = "__rid"
 def row_key(doc_id: str, text: str) -> Column:
     """128 bits of doc_id, its length before it, and text. Unlike a row number it stays the same when a lost executor's files are split anew; rows alike in both share it."""
     said = F.col(f"`{doc_id}`").cast("string")
-    return F.unhex(F.md5(F.concat(F.coalesce(F.concat(F.length(said).cast("string"), F.lit("|"), said), F.lit("n")), F.lit("|"), F.coalesce(F.col(f"`{text}`"), F.lit("")))))
+    key = F.unhex(F.md5(F.concat(F.coalesce(F.concat(F.length(said).cast("string"), F.lit("|"), said), F.lit("n")), F.lit("|"), F.coalesce(F.col(f"`{text}`"), F.lit("")))))
+    return F.coalesce(key, F.lit(b""))  # never null, as the plan can see
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -23,7 +23,7 @@ def exact_dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", fan_i
     equal only if SHA-256, a second 64-bit hash and the length all agree, which is checked at every level.
 
     A hot text costs one row a run before the first exchange, and the copies meet their group again in a plain join.
-    Null texts are empty; a null doc_id comes after all others; of rows alike in everything one stays; an empty table
+    Texts of any length are compared whole. Null texts are empty; a null doc_id comes after all others; of rows alike in everything one stays; an empty table
     gives an empty result; other columns are not looked at.
     """
     norm = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), _SPACE, "")

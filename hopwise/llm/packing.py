@@ -78,7 +78,7 @@ def packed(df: DataFrame, path: str = TOKENIZER, size: int = SIZE, end_id: int =
     meets in rounds: the pieces of MEET tasks, largest first, are packed again in one, with as many open windows, until
     one task is left. So a task never holds more than MEET times `most` windows' pieces.
 
-    Null and empty texts are one piece of one id; doc_ids may be null or repeated, each row being packed by itself; an
+    A text of any length is encoded whole and cut into as many pieces as it needs. Null and empty texts are one piece of one id; doc_ids may be null or repeated, each row being packed by itself; an
     empty table gives an empty result; other columns are not looked at. Sequences are padded to `size` by the writer.
     """
     with open(path, encoding="utf-8") as f:

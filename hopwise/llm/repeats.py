@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hopwise.llm.common import RID, as_bytes, checkpointed, fresh, picked, row_key, rows_at_a_time
-from hopwise.llm.hashing import mixed, of_ranges, powers, running
+from hopwise.llm.hashing import mixed, powers, running
 
 #: Bytes that a repeat must have, and bytes of the string that anchors it.
 LENGTH = 200
@@ -35,11 +36,11 @@ class Anchors:
         self.length, self.anchor = length, anchor
 
     def find(self, data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
-        """data: texts end to end, at most a piece; size: their bytes. Gives of each anchor: text, place in it, bytes of the segment before and from the anchor on, hash of the anchor string, hash of the segment."""
+        """data: texts end to end, at most a piece; size: their bytes. Gives of each anchor: text, place in it, bytes of the segment before and from the anchor on, hash of the anchor string."""
         n, k = len(data), self.anchor
         w = self.length - k + 1
         if n < self.length:
-            return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, _U, _U))
+            return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, _U))
         sums = running(data)
         h = mixed((sums[k:] - sums[:-k]) * powers(n + 1)[1][: n - k + 1])
         low = _U((1 << PIECE_BITS) - 1)
@@ -57,11 +58,10 @@ class Anchors:
         last = np.r_[first[1:], len(a)] - 1 if len(a) else first
         at, lo, hi = a[first], s[first], s[last] + self.length
         left, right = at - lo, hi - at
-        seg = mixed(of_ranges(sums, lo, hi) + left.astype(_U) * _U(0xD6E8FEB86659FD93) + right.astype(_U))
         begin = np.cumsum(size) - size
         text = np.searchsorted(begin, at, "right") - 1
         text = np.maximum(text, 0)
-        return text, at - begin[text], left, right, h[at], seg
+        return text, at - begin[text], left, right, h[at]
 
 
 def _pieces(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, list[int], list[int]]]:
@@ -87,23 +87,32 @@ def _pieces(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, list[
         yield part, of, begin
 
 
-def anchor_rows(rows: DataFrame, length: int, anchor: int, key: bool) -> DataFrame:
-    """rows: __rid, text. One row for each anchor: its string's hash k, and with key also __rid, pos, before, after, seg."""
+def segment_digest(segment: bytes, before: int) -> int:
+    """64 bits of BLAKE2b of a segment and of where its anchor is, signed."""
+    return int.from_bytes(blake2b(segment, digest_size=8, salt=before.to_bytes(4, "little")).digest(), "little", signed=True)
+
+
+def anchor_rows(rows: DataFrame, length: int, anchor: int, key: str = "", text: str = "text") -> DataFrame:
+    """One row for each anchor: its string's hash k, and with a key column also __rid, pos, before, after, seg."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Anchors(length, anchor)
         for b in rows_at_a_time(batches):
             for part, of, begin in _pieces(as_bytes(b["text"]), length):
-                text, pos, left, right, k, seg = finder.find(np.frombuffer(b"".join(part), np.uint8), np.array([len(p) for p in part]))
-                cols = {"k": k.view(np.int64)}
-                if key:
-                    cols |= {"seg": seg.view(np.int64), "pos": pos + np.array(begin)[text], "before": left, "after": right}
-                arrays = [pa.array(c) for c in cols.values()]
-                if key:
-                    arrays.append(b[RID].take(pa.array(np.array(of)[text])))
-                yield pa.RecordBatch.from_arrays(arrays, names=[*cols, *[RID] * key])
-
-    return rows.mapInArrow(run, "k long" + f", seg long, pos long, before long, after long, {RID} binary" * key)
+                data = b"".join(part)
+                size = np.array([len(p) for p in part])
+                at, pos, left, right, k = finder.find(np.frombuffer(data, np.uint8), size)
+                if not key:
+                    yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64))], names=["k"])
+                    continue
+                place = pos + (np.cumsum(size) - size)[at]
+                seg = [segment_digest(data[p - l : p + r], l) for p, l, r in zip(place.tolist(), left.tolist(), right.tolist(), strict=True)]
+                arrays = [pa.array(k.view(np.int64)), pa.array(seg, pa.int64()), pa.array(pos + np.array(begin)[at]), pa.array(left), pa.array(right), b[RID].take(pa.array(np.array(of)[at]))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["k", "seg", "pos", "before", "after", RID])
+
+    if not key:
+        return picked(rows, text=text).mapInArrow(run, "k long")
+    return picked(rows, text=text, **{RID: key}).mapInArrow(run, f"k long, seg long, pos long, before long, after long, {RID} binary")
 
 
 def _common(a: bytes, b: bytes) -> int:
@@ -216,54 +225,73 @@ def _windows(length: int):
     return run, "k long, seg long, off long, digest binary"
 
 
-def _cut_out():
+def _cut_out(text_column: str, need_column: str):
     """Of documents with the list of their wanted segments: a row for each, with its bytes."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows_at_a_time(batches):
             rows = []
-            for text, need in zip(as_bytes(b["text"]), b["need"].to_pylist(), strict=True):
-                rows += [(x["k"], x["seg"], x["before"], text[x["pos"] - x["before"] : x["pos"] + x["after"]]) for x in need]
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["k", "seg", "before", "bytes"])
+            for text, need in zip(as_bytes(b[text_column]), b[need_column].to_pylist(), strict=True):
+                rows += [(x["k"], x["seg"], x["before"], text[x["pos"] - x["before"] : x["pos"] + x["after"]], x["kinds"]) for x in need]
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["k", "seg", "before", "bytes", "kinds"])
 
-    return run, "k long, seg long, before long, bytes binary"
+    return run, "k long, seg long, before long, bytes binary, kinds long"
 
 
 class Repeats:
     """The repeats of one table; the steps are lazy but for the table of anchors that occur twice."""
 
-    def __init__(self, rows: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> None:
-        """rows: __rid, text."""
+    def __init__(self, rows: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, key: str = RID, text: str = "text") -> None:
+        """rows: a key column, binary, a text column and any others."""
         if not 0 < anchor <= length < 1 << PIECE_BITS:
             raise ValueError("0 < anchor <= length is needed")
-        self.rows, self.length = rows, length
-        twice = anchor_rows(rows.select("text"), length, anchor, False).groupBy("k").count().where("count > 1").select("k")
-        self.found = checkpointed(anchor_rows(rows, length, anchor, True).join(twice, "k"))
+        self.rows, self.length, self.key, self.text = rows, length, key, text
+        twice = anchor_rows(rows, length, anchor, text=text).groupBy("k").count().where("count > 1").select("k")
+        self.found = checkpointed(anchor_rows(rows, length, anchor, key, text).join(twice, "k"))
         self.segments = self.found.groupBy("k", "seg").agg(F.count("*").alias("n"), F.min(F.struct(RID, "pos", "before", "after")).alias("one"))
 
-    def contexts(self, hot: bool) -> DataFrame:
-        """The bytes of the segments whose anchor string has several, unless all of these are repeated whole; hot: of the strings with over ARRAY segments, or of the others."""
-        kinds = self.segments.groupBy("k").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1")
-        need = self.segments.join(kinds.where((F.col("kinds") > ARRAY) == F.lit(hot)), "k").select("one.*", "k", "seg")
-        need = need.groupBy(RID).agg(F.collect_list(F.struct("k", "seg", "pos", "before", "after")).alias("need"))
-        run, schema = _cut_out()
-        return self.rows.join(need, RID).select("text", "need").mapInArrow(run, schema)
-
-    def _arrays(self, groups: bool) -> DataFrame:
+    def joined(self, lists: DataFrame, name: str) -> DataFrame:
+        """All rows, with all their columns and the lists (__rid, name) of those that have one. Every such join reads one exchange of the texts, as no column is left out on the way."""
+        named = fresh(self.rows, name)
+        return self.rows.join(lists.toDF(self.key, named), self.key, "left")
+
+    def contexts(self) -> DataFrame:
+        """(k, seg, before, bytes, kinds) of the segments whose anchor string has several, unless all of these are repeated whole."""
+        kinds = self.segments.groupBy("k").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("k", "kinds")
+        need = self.segments.join(kinds, "k").select("one.*", "k", "seg", "kinds")
+        need = need.groupBy(RID).agg(F.collect_list(F.struct("k", "seg", "pos", "before", "after", "kinds")).alias("need"))
+        held = self.joined(need, "need")
+        run, schema = _cut_out(self.text, held.columns[-1])
+        return held.where(F.col(held.columns[-1]).isNotNull()).mapInArrow(run, schema)
+
+    def _arrays(self, contexts: DataFrame, groups: bool) -> DataFrame:
         run, schema = _arrays(self.length, groups)
-        return self.contexts(False).repartition("k").sortWithinPartitions("k", "seg").mapInArrow(run, schema)
+        return contexts.where(f"kinds <= {ARRAY}").drop("kinds").repartition("k").sortWithinPartitions("k", "seg").mapInArrow(run, schema)
+
+    def _windows(self, contexts: DataFrame) -> DataFrame:
+        """(k, seg, off, digest) of every repeated string of that many bytes around the anchor strings with over ARRAY segments."""
+        run, schema = _windows(self.length)
+        windows = contexts.where(f"kinds > {ARRAY}").drop("kinds").dropDuplicates(["k", "seg"]).mapInArrow(run, schema)
+        twice = windows.groupBy("digest", "off").count().where("count > 1").select("digest", "off")
+        return windows.join(twice, ["digest", "off"])
 
     def groups(self) -> DataFrame:
         """One row per occurrence of each maximal repeat: k and nth name the group, start and size the occurrence in bytes.
 
         Repeats are told within segments, of at most 2 * length - anchor bytes: a longer one is a chain of overlapping
-        groups. Segments that occur twice or more are groups of their own, nth -1. Anchor strings with over ARRAY
-        different segments are left to spans().
+        groups. Segments that occur twice or more are groups of their own. Around an anchor string with over ARRAY
+        different segments, which no task holds together, each set of segments that share a string of `length` bytes is
+        a group, over all bytes of the strings that this very set shares.
         """
-        inner = self._arrays(True)
+        contexts = checkpointed(self.contexts())
+        inner = self._arrays(contexts, True)
         whole = self.segments.where("n > 1").select("k", "seg", F.col("one.before").alias("before"), F.col("one.after").alias("after"), F.xxhash64("seg").alias("nth"))
-        said = inner.union(whole).withColumnsRenamed({"before": "b", "after": "a"})
+        windows = checkpointed(self._windows(contexts))
+        sets = windows.groupBy("k", "off", "digest").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(seg, 1))").alias("x"), F.expr("bit_xor(xxhash64(seg, 2))").alias("y"))
+        hot = windows.join(sets.select("k", "off", "digest", F.xxhash64("n", "x", "y").alias("nth")), ["k", "off", "digest"])
+        hot = hot.groupBy("k", "seg", "nth").agg(F.max("off").alias("before"), (self.length - F.min("off")).alias("after")).select("k", "seg", "before", "after", "nth")
+        said = inner.union(whole).union(hot).withColumnsRenamed({"before": "b", "after": "a"})
         return self.found.join(said, ["k", "seg"]).select("k", "nth", RID, (F.col("pos") - F.col("b")).alias("start"), (F.col("a") + F.col("b")).alias("size"))
 
     def reach(self) -> DataFrame:
@@ -273,11 +301,9 @@ class Repeats:
         segments. All repeats in a segment hold its anchor, so their union is one run.
         """
         whole = self.segments.where("n > 1").select("k", "seg", F.col("one.before").alias("b"), F.col("one.after").alias("a"))
-        inner = self._arrays(False).toDF("k", "seg", "b", "a")
-        run, schema = _windows(self.length)
-        windows = self.contexts(True).dropDuplicates(["k", "seg"]).mapInArrow(run, schema)
-        twice = windows.groupBy("digest", "off").count().where("count > 1").select("digest", "off")
-        many = windows.join(twice, ["digest", "off"]).groupBy("k", "seg").agg(F.max("off").alias("b"), (self.length - F.min("off")).alias("a"))
+        contexts = self.contexts()
+        inner = self._arrays(contexts, False).toDF("k", "seg", "b", "a")
+        many = self._windows(contexts).groupBy("k", "seg").agg(F.max("off").alias("b"), (self.length - F.min("off")).alias("a"))
         return whole.union(inner).union(many).groupBy("k", "seg").agg(F.max("b").alias("b"), F.max("a").alias("a"))
 
     def spans(self) -> DataFrame:
@@ -323,12 +349,13 @@ def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", le
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and spans, the removed byte runs.
 
     Every byte is removed that a string of that many bytes covers which also starts anywhere else, in the same text
-    or another; all are judged on the input and no string spans two texts. Null and empty texts have no bytes and keep
+    or another; all are judged on the input and no string spans two texts. Texts longer than a piece are searched in parts
+    that overlap. Null and empty texts have no bytes and keep
     the digest of nothing; rows repeated whole are repeats of each other, as are equal texts of that length; a doc_id may
     be null or shared; other columns are not looked at; an empty table gives an empty result.
     """
     rows = picked(df, doc_id=doc_id, text=text).withColumn(RID, row_key("doc_id", "text"))
-    spans = Repeats(rows.select(RID, "text"), length, anchor).spans()
+    repeats = Repeats(rows, length, anchor)
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,24 +368,24 @@ def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", le
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), span]
             yield pa.RecordBatch.from_arrays([b["doc_id"], *[pa.array([r[i] for r in out], t) for i, t in enumerate(types)]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    joined = rows.join(spans, RID, "left").select("doc_id", "text", "spans")
+    joined = repeats.joined(repeats.spans(), "spans")
     return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>")
 
 
 def trimmed(df: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """df with the repeats taken out of its texts, whole characters only, and n_chars, if it has one, counted anew."""
-    key, said = fresh(df, RID), fresh(df, "__spans")
-    rows = picked(df, doc_id=doc_id, text=text)
-    spans = Repeats(rows.select(row_key("doc_id", "text").alias(RID), "text"), length, anchor).spans().toDF(key, said)
-    at = df.columns.index(text)
+    key, at = fresh(df, RID), df.columns.index(text)
+    repeats = Repeats(df.withColumn(key, row_key(doc_id, text)), length, anchor, key, text)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows_at_a_time(batches):
+            b = b.select([*df_columns, said])
             old, found = b.column(at), b.column(b.num_columns - 1).to_pylist()
             new = [x if s is None else without(t, whole_characters(t, merged(s))).decode() for x, t, s in zip(old.to_pylist(), as_bytes(old), found, strict=True)]
             cols = [pa.array(new, pa.string()) if i == at else c for i, c in enumerate(b.columns[:-1])]
             yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:-1])
 
-    joined = df.withColumn(key, row_key(doc_id, text)).join(spans, key, "left").drop(key)
+    joined = repeats.joined(repeats.spans(), "__spans")
+    df_columns, said = df.columns, joined.columns[-1]
     out = joined.mapInArrow(run, df.schema)
     return out.withColumn("n_chars", F.coalesce(F.length(f"`{text}`"), F.lit(0)).cast(df.schema["n_chars"].dataType)) if "n_chars" in df.columns else out
