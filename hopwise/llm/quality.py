@@ -15,6 +15,8 @@ from hopwise.llm.hashing import word_hashes
 
 #: Labelled rows that a model is fitted on: so many of each class at most, the first ones by a seeded hash of doc_id.
 SAMPLE_PER_CLASS = 1000
+#: Texts of more bytes are not learnt from, so the sample on the driver has at most 2 * SAMPLE_PER_CLASS times as many. All texts are scored.
+SAMPLE_BYTES = 1 << 17
 SEED = 7
 
 MIN_WORDS = 20
@@ -62,7 +64,7 @@ def byte_counts(text: bytes) -> tuple[int, int]:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, learn=None) -> tuple[list[tuple], dict[int, int]]:
-    """(text, n_chars, label) of at most per_class rows of each label, and the number of rows with each label.
+    """(text, n_chars, label) of at most per_class rows of each label, none of over SAMPLE_BYTES, and the number of rows with each label.
 
     docs: doc_id, text, n_chars; labels: doc_id, label. learn: which rows of labels may be learnt from.
     """
@@ -72,7 +74,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, learn=No
     counts = {r[0]: r[1] for r in one.groupBy("label").count().collect()}
     order = [F.xxhash64(F.lit(SEED), "doc_id"), "doc_id"]
     few = one.where("label = 0").orderBy(*order).limit(per_class).union(one.where("label = 1").orderBy(*order).limit(per_class))
-    rows = docs.select("doc_id", "text", "n_chars").join(F.broadcast(few), "doc_id").dropDuplicates(["doc_id"]).collect()  # twice per_class rows at most
+    short = docs.select("doc_id", "text", "n_chars").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES)
+    rows = short.join(F.broadcast(few), "doc_id").dropDuplicates(["doc_id"]).collect()  # twice per_class rows at most
     rows.sort(key=lambda r: (crc32(str(r["doc_id"]).encode()), r["doc_id"]))
     return [(r["text"], r["n_chars"], int(r["label"])) for r in rows], counts
 
@@ -177,7 +180,8 @@ def quality_rules(df: DataFrame, model: NgramModel, text: str = "text", doc_id:
     Words are ``[^\\x20\\x09-\\x0D]+``. base_failed: under 20 words, or over 30 % of them in repeated 8-word windows. The
     others are kept if the model's calibrated probability of quality is keep_at or more. A model fitted on no labels, or
     on one class, keeps them all. Null and empty texts have no words and fail; ids, null or repeated, are passed on;
-    other columns are not looked at; an empty table gives an empty result. Whole texts are scored, in Arrow batches.
+    other columns are not looked at; an empty table gives an empty result. Whole texts of any length are scored, in Arrow
+    batches, in memory that grows with the longest text.
     """
     rows = picked(df, doc_id=doc_id, text=text)
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "probability", "kept"]
@@ -297,7 +301,7 @@ def factor_scores(df: DataFrame, model: FactorMachine, text: str = "text", doc_i
 
     Inputs of a score are the hashed words of the whole text, statistics of its structure and the n_chars column (the
     text's length where that is null); labels, language, source and doc_id are not. A machine fitted on no labels or on
-    one class scores all texts alike, above predict_at. Null texts are empty; empty texts are scored by their structure;
+    one class scores all texts alike, above predict_at. Whole texts of any length are scored. Null texts are empty; empty texts are scored by their structure;
     a null doc_id counts as an empty one for held_out; an empty table gives an empty result.
     """
     rows = picked(df, doc_id=doc_id, text=text, n_chars=F.coalesce(F.col(n_chars).cast("long"), F.length(text).cast("long"), F.lit(0).cast("long")), held_out=held_out(doc_id))

@@ -211,6 +211,93 @@ def test_factor_machine_pairs_in_linear_time():
     assert m.score(at, x) == pytest.approx(1 / (1 + np.exp(-(m.w0 + x @ m.w[at] + pairs))), abs=1e-5)
 
 
+def plain_hash(word):
+    """The polynomial hash of a word's bytes, by the definition."""
+    mask = (1 << 64) - 1
+
+    def mix(x):
+        x = ((x ^ (x >> 33)) * 0xFF51AFD7ED558CCD) & mask
+        x = ((x ^ (x >> 33)) * 0xC4CEB9FE1A85EC53) & mask
+        return x ^ (x >> 33)
+
+    base, total = 0x9E3779B97F4A7C15, 0
+    for i, b in enumerate(word):
+        total += mix(((b + 1) * 0x9E3779B97F4A7C15) & mask) * pow(base, i, 1 << 64)
+    return mix((total + len(word)) & mask)
+
+
+def plain_ngram_score(model, t):
+    """The model's probability: the mean weight of each family's members, member by member."""
+    w = [plain_hash(x) for x in WORD.findall(t.encode())]
+    mask, top = (1 << 64) - 1, 1 << model.BITS
+    families = [[h >> (64 - model.BITS) for h in w]]
+    families.append([(((a * 0xD6E8FEB86659FD93 + b) & mask) * 0x9E3779B97F4A7C15 & mask) >> (64 - model.BITS) for a, b in zip(w, w[1:], strict=False)])
+    for n in model.SIZES:
+        members = []
+        for i in range(len(t) - n + 1):
+            g = 0
+            for c in t[i : i + n]:
+                g = (g * 0x01000193 + ord(c)) & 0xFFFFFFFF
+            members.append(((g * 0x9E3779B1) & 0xFFFFFFFF) >> (32 - model.BITS))
+        families.append(members)
+    z = model.bias + sum(sum(float(model.w[f * top + m]) for m in members) / len(members) for f, members in enumerate(families) if members)
+    return 1 / (1 + np.exp(-np.clip(model.slope * z + model.shift, -40, 40)))
+
+
+def test_quality_verdict_is_the_model_s(docs, labels, rows):
+    model = quality.fit_ngram_model(docs, labels)
+    out, near = by_id(quality.quality_rules(docs, model)), 0
+    for i, t, *_ in rows:
+        p = plain_ngram_score(model, t or "")
+        assert out[i]["probability"] == pytest.approx(p, abs=1e-6)
+        near += abs(p - quality.KEEP_AT) < 1e-6
+        assert out[i]["kept"] == (not out[i]["base_failed"] and p >= quality.KEEP_AT) or near
+    assert near == 0
+
+
+def test_long_texts_are_not_learnt_from(docs, labels, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 300)
+    rows, counts = quality.labelled_sample(docs.select("doc_id", "text", "n_chars"), labels.selectExpr("doc_id", "quality label"), 1000)
+    assert rows and all(len((t or "").encode()) <= 300 for t, _, _ in rows) and sum(counts.values()) > len(rows)
+
+
+def plain_factor_score(m, t, n_chars):
+    """The machine's score by all pairs of features, the features told from the text by the definition."""
+    t = t or ""
+    raw = t.encode()
+    words = WORD.findall(raw)
+    at = sorted({plain_hash(w) >> (64 - m.BITS) for w in words})
+    n, lines = max(1, len(t)), raw.count(b"\n") + 1
+    log = lambda x: min(m.BINS - 1, int(np.log2(1 + max(0, x))))
+    part = lambda a, b: min(m.BINS - 1, int(m.BINS * (a / max(1, b)) ** 0.5))
+    has = lambda chars: sum(raw.count(c.encode()) for c in chars)
+    full = [x for x in raw.split(b"\n") if x.strip()]
+    bins = [
+        log(len(words)), part(len(at), len(words)), min(m.BINS - 1, int(n / max(1, len(words)))), part(sum("A" <= c <= "Z" for c in t), n), part(sum("0" <= c <= "9" for c in t), n),
+        part(has("#*$%&|<>"), n), part(has("!"), n), part(has("!,.:;?"), n), part(len(full) - len(set(full)), lines), log(len(words) // lines), part(sum(ord(c) > 127 for c in t), n), log(n_chars if n_chars is not None else len(t)),
+    ]
+    places = at + [(1 << m.BITS) + i * m.BINS + b for i, b in enumerate(bins)]
+    x = np.array([1 / np.sqrt(max(1, len(at)))] * len(at) + [1 / np.sqrt(len(bins))] * len(bins))
+    v = m.v[places].astype(float) * x[:, None]
+    z = m.w0 + float(x @ m.w[places]) + sum(float(v[i] @ v[i + 1 :].sum(axis=0)) for i in range(len(v) - 1))
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
+def test_factor_machine_scores_by_all_pairs(docs, labels, rows):
+    machine = quality.fit_factor_machine(docs, labels)
+    out = by_id(quality.factor_scores(docs, machine))
+    for i, t, _, _, n in rows:
+        assert out[i]["score"] == pytest.approx(plain_factor_score(machine, t, n), abs=1e-5), i
+
+
+def test_held_out_rows_teach_nothing(docs, labels):
+    from pyspark.sql import functions as F
+
+    turned = labels.withColumn("quality", F.when(quality.held_out(), 1 - F.col("quality")).otherwise(F.col("quality")))
+    a, b = (quality.fit_factor_machine(docs, x) for x in (labels, turned))
+    assert turned.exceptAll(labels).count() > 3 and a.w0 == b.w0 and (a.w == b.w).all() and (a.v == b.v).all()
+
+
 # ---- byte-pair encoding
 
 
@@ -411,6 +498,42 @@ def test_repeat_groups_have_all_occurrences(spark):
     assert any({i for i, *_ in some} == {0, 1, 2} for some in got.values())
 
 
+def test_repeat_groups_around_a_crowded_anchor(spark, monkeypatch):
+    """The sets that share a string of the length, each over all that it shares, whether a task may hold them or not."""
+    import random
+
+    r = random.Random(8)
+    noise = lambda n: "".join(r.choice("abcdefghij") for _ in range(n))
+    p = noise(60)
+    texts = [noise(30) + p + noise(30) for _ in range(6)] + [noise(10) + p[5:50] + noise(20) for _ in range(3)]
+    rows = spark.createDataFrame([(bytes([i]), t) for i, t in enumerate(texts)], "__rid binary, text string")
+
+    def found(array):
+        monkeypatch.setattr(repeats, "ARRAY", array)
+        got = defaultdict(set)
+        for g in repeats.Repeats(rows, 40, 16).groups().collect():
+            got[g["k"], g["nth"]].add((g["__rid"][0], g["start"], g["size"]))
+        return {frozenset(x) for x in got.values()}
+
+    few, crowded = found(8192), found(1)
+    for some in (few, crowded):
+        assert all(len({texts[i][s : s + n] for i, s, n in group}) == 1 for group in some)
+        assert {9, 6} <= {len({i for i, *_ in group}) for group in some}
+    covered = [{(i, at) for group in some for i, s, n in group for at in range(s, s + n)} for some in (few, crowded)]
+    assert covered[0] == covered[1]
+
+
+def test_ids_that_hold_the_separator(spark):
+    """A row is known by its id's length too: ("a|z", t) is not ("a", "z|" + t)."""
+    t = "one two three " * 30
+    df = spark.createDataFrame([("a|z", t), ("a", "z|" + t), (None, t), ("n", t)], "doc_id string, text string")
+    out = {r["doc_id"]: r for r in repeats.remove_repeats(df).collect()}
+    assert all(r["n_removed"] <= r["n_bytes"] for r in out.values()) and out["a"]["n_bytes"] == len(t) + 2
+    assert {r["doc_id"] for r in lines.repeated_units(df, units="lines").collect()} <= {"a|z", "n", None}
+    assert {r["doc_id"] for r in table(survivors(df))} == {"a", "a|z"}
+    assert {r["component_id"] for r in simhash.near_duplicates(df).collect()} <= {"a", "a|z", "n"} and simhash.representatives(df).count() >= 1
+
+
 def test_intervals_of_the_common_prefix_tree():
     words = sorted(["banana"[i:] for i in range(6)])
     lcp = [repeats._common(a.encode(), b.encode()) for a, b in zip(words, words[1:], strict=False)]
