@@ -22,9 +22,11 @@ def exact_dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", fan_i
     text and adds the counts. A run is spread over the cluster by digest, so no task holds a whole run. Texts count as
     equal only if SHA-256, a second 64-bit hash and the length all agree, which is checked at every level.
 
-    A hot text costs one row a run before the first exchange, and the copies meet their group again in a plain join.
-    Texts of any length are compared whole. Null texts are empty; a null doc_id comes after all others; of rows alike in everything one stays; an empty table
-    gives an empty result; other columns are not looked at.
+    A hot text costs one row a run before the first exchange, and the copies meet their group again in a plain join,
+    whose large keys can be split.
+
+    Texts of any length are compared whole. Null texts are empty; a null doc_id comes after all others; of rows alike in
+    everything one stays; an empty table gives an empty result; other columns are not looked at.
     """
     norm = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), _SPACE, "")
     key = [row_key("doc_id", "text").alias(RID)] if keyed else []
@@ -42,7 +44,7 @@ def exact_dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", fan_i
         runs = runs.groupBy(F.shiftright("run", fan_in_bits).alias("run"), *same).agg(F.min("best").alias("best"), F.sum("n").alias("n"))
         if not last:
             break
-    kept = runs.select(*same, F.col("best.id").alias("keep_id"), F.col("best.row").alias("keep_row"), F.col("n").alias("group_size"))
+    kept = checkpointed(runs.select(*same, F.col("best.id").alias("keep_id"), F.col("best.row").alias("keep_row"), F.col("n").alias("group_size")))
     return rows.join(kept, same).select(
         *([RID] if keyed else []), "doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.col("digest").alias("text_sha256")
     )
