@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,3 +59,20 @@ def rows_at_a_time(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterat
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+
+
+def by_group(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by group, a whole group at a time."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        at = 0
+        while at < b.num_rows:
+            group = b["group"].to_numpy()
+            end = at + int(np.searchsorted(group[at:], group[at], "right"))
+            if held and held[0]["group"][0].as_py() != group[at]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(at, end - at))
+            at = end
+    if held:
+        yield pa.Table.from_batches(held)

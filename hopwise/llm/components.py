@@ -30,3 +30,19 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         label = after.select("node", F.col("now").alias("root"))
         if not moved:
             return label
+
+
+def dealt_out(rooted: DataFrame, node: str, rows: int) -> DataFrame:
+    """rooted: key, root and more of the members of buckets. Of buckets with several roots each row, with group, slice, main and own.
+
+    Those of a bucket's commonest root (main) are dealt out to its slices of about so many rows, each to its own; the
+    others go to all slices. So where most of a large bucket is connected, what is sent grows with it and not with its
+    square. Pairs of others meet in every slice; the slice that is the own one of the smaller counts.
+    """
+    each = rooted.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key")
+    several = each.agg(F.sum("n").alias("n"), F.count("*").alias("roots"), F.max_by("root", "n").alias("most")).where("roots > 1")
+    several = checkpointed(several.select("key", "most", F.expr(f"cast(ceil(n / {rows}) as int)").alias("slices")))
+    out = rooted.join(several, "key").withColumn("main", F.col("root") == F.col("most"))
+    out = out.withColumn("own", F.pmod(F.xxhash64(F.lit(1), node), F.col("slices")).cast("int"))
+    out = out.withColumn("slice", F.explode(F.when(F.col("main"), F.array("own")).otherwise(F.sequence(F.lit(0), F.col("slices") - 1))))
+    return out.withColumn("group", F.xxhash64("key", "slice")).drop("most", "slices")

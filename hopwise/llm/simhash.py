@@ -11,8 +11,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hopwise.llm.common import RID, as_bytes, checkpointed, only, picked, row_key, rows_at_a_time, arrow
-from hopwise.llm.components import components
+from hopwise.llm.common import RID, arrow, as_bytes, by_group, checkpointed, only, picked, row_key, rows_at_a_time
+from hopwise.llm.components import components, dealt_out
 
 SEED = 42
 SHINGLE_WORDS = 4
@@ -20,7 +20,7 @@ MAX_BITS = 4
 PIVOTS = 16
 #: The 64 bits are cut into so many blocks more than may differ, so in any link that many blocks are alike.
 KEYED = 2
-#: Fingerprints of a bucket that one task compares; larger buckets are dealt out as pairs of slices.
+#: Fingerprints of a bucket that one task compares at a time; larger buckets are dealt out to slices.
 SLICE = 512
 
 
@@ -141,24 +141,49 @@ def _links(max_bits: int, small: int = 6):
     return run
 
 
+def _links_between(max_bits: int):
+    """Links of different roots in groups of dealt out buckets, enough to connect what they connect."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        for t in by_group(batches):
+            fp, root, main, own, here = (t[c].to_numpy(zero_copy_only=False).copy() for c in ("fp", "root", "main", "own", "slice"))
+            table, a, b = PivotTable(fp.view(np.uint64), max_bits), [], []
+            for x in np.flatnonzero(~main):
+                y = np.flatnonzero((root != root[x]) & (main | ((fp > fp[x]) & (own[x] == here[x]))))
+                for j in y[table.close(np.full(len(y), x), y)].tolist() if len(y) else ():
+                    if root[j] != root[x]:
+                        root[root == root[j]] = root[x]
+                        a.append(min(fp[x], fp[j]))
+                        b.append(max(fp[x], fp[j]))
+            yield arrow(schema, [a, b])
+
+    return run
+
+
 def linked_fingerprints(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """(a, b) of distinct fingerprints in fps.fp, enough of the pairs within max_bits to connect all that they connect.
 
     Two fingerprints within 4 bits agree in at least 2 of 6 blocks, so each goes to 15 buckets, one for each two blocks;
-    within 6 bits, to 28.
-    Lone ones go no further. In a bucket the pivot table discards pairs and the survivors are verified bit by bit.
-    Buckets over SLICE are cut into slices by a hash and each two slices are compared in a task of their own.
+    within 6 bits, to 28. Lone ones go no further. In a bucket the pivot table discards pairs and the survivors are
+    verified bit by bit. In buckets over SLICE all are first compared with one of the bucket, another in each; what that
+    connects is dealt out to slices, and only what is not connected yet meets all of them.
     """
     keyed = fps.select("fp", F.explode(F.array(*_block_keys(max_bits))).alias("key"))
-    many = keyed.groupBy("key").count().where("count > 1")
-    slices = F.expr(f"cast(ceil(count / {SLICE}) as int)")
-    own = F.pmod(F.xxhash64(F.lit(1), "fp"), F.col("slices")).cast("int")
-    dealt = (
-        keyed.join(many, "key").withColumn("slices", slices).withColumn("own", own)
-        .select("fp", "key", "own", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("other"))
-        .select("fp", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"))
-    )
-    return dealt.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_links(max_bits), "a long, b long").distinct()
+    lead = F.min(F.struct(F.xxhash64("key", "fp").alias("order"), "fp")).alias("lead")
+    size = checkpointed(keyed.groupBy("key").agg(F.count("*").alias("n"), lead).where("n > 1").select("key", "n", F.col("lead.fp").alias("lead")))
+    few = keyed.join(size.where(f"n <= {SLICE}").select("key"), "key").select("fp", "key")
+    links = few.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_links(max_bits), "a long, b long").distinct()
+    if not size.where(f"n > {SLICE}").limit(1).count():
+        return links
+    hot = checkpointed(keyed.join(size.where(f"n > {SLICE}").select("key", "lead"), "key"))
+    star = hot.where((F.col("fp") != F.col("lead")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("lead"))) <= max_bits))
+    star = checkpointed(star.select(F.least("fp", "lead").alias("a"), F.greatest("fp", "lead").alias("b")).distinct())
+    label = components(star).select(F.col("node").alias("fp"), F.col("root").alias("of"))
+    rooted = checkpointed(hot.drop("lead").join(label, "fp", "left").select("key", "fp", F.coalesce("of", "fp").alias("root")))
+    dealt = dealt_out(rooted, "fp", SLICE).select("group", "fp", "root", "main", "own", "slice")
+    rest = dealt.repartition("group").sortWithinPartitions("group", "fp").mapInArrow(_links_between(max_bits), "a long, b long")
+    return links.union(star).union(rest)
 
 
 def near_duplicates(df: DataFrame, max_bits: int = MAX_BITS, text: str = "text", doc_id: str = "doc_id", keyed: bool = False, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
@@ -174,8 +199,8 @@ def near_duplicates(df: DataFrame, max_bits: int = MAX_BITS, text: str = "text",
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), *key)
     fps = checkpointed(docs.groupBy("fp").agg(F.min(first).alias("first")))
     label = components(linked_fingerprints(fps, max_bits))
-    rooted = fps.join(label, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    best = rooted.groupBy("root").agg(F.min("first").alias("best"))
+    rooted = checkpointed(fps.join(label, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
+    best = checkpointed(rooted.groupBy("root").agg(F.min("first").alias("best")))  # so that the join can split a large component
     named = rooted.join(best, "root").select("fp", "best")
     return docs.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("best.id").alias("component_id"), *([RID, "best.row"] if keyed else [])
