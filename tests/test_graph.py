@@ -55,6 +55,21 @@ def test_two_sided_and_one_based(spark, write, tmp_path):
     assert lines(run(spark, one)["distances"]) == [up(x) for x in expected]
 
 
+def test_the_log_of_a_run(spark, write, tmp_path, caplog):
+    from hopwise.plans.log import duration, grouped, ratio
+
+    assert [grouped(n) for n in (0, 999, 1000, 1234567)] == ["0", "999", "1 000", "1 234 567"] and ratio(7, 3) == "2.33" and ratio(1, 50) == "0.02"
+    assert [duration(s) for s in (0.5, 61, 3600, 90000, 59.9996)] == ["0.500s", "1m 1s", "1h 0m", "1d 1h", "59.999s"]
+    files = {"edges": write("e", *F2), "unitigs": write("u", *UNITIGS), "queries": write("q", *Q2), "genomes": write("g", write("g0", *F2)), "k": 3}
+    with caplog.at_level("INFO", "hopwise"):
+        run(spark, Options(**files, output=str(tmp_path / "quiet")))
+        assert not caplog.records
+        run(spark, Options(**files, output=str(tmp_path / "loud"), verbose=True))
+    text = caplog.text
+    for said in ("read 6 queries", "planned searches from", "built the graph", "contracted 1 genomes", "wrote distances over 1 genomes", "wrote distances in the whole graph"):
+        assert said in text, said
+
+
 def test_genomes(spark, write, tmp_path):
     a, b, c = write("a", *F2[:3]), write("b", F2[4], F2[2]), write("c", F2[0])
     o = Options(edges=write("e", *F2), unitigs=write("u", *UNITIGS), k=3, genomes=write("g", a, b, c), genomes_only=True, queries=write("q", *Q2), output=str(tmp_path / "out"))
