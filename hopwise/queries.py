@@ -20,6 +20,7 @@ from hopwise.operators import graph as G
 from hopwise.operators import outliers as O
 from hopwise.operators.paths import shortest_paths
 from hopwise.plans.jobs import oriented_jobs, query_counts
+from hopwise.sources import plots as P
 from hopwise.sources import readers as R
 from hopwise.sources.readers import query_columns
 from hopwise.sources.writers import result_lines, result_rows, stats_frame, write_outliers, write_results
@@ -337,6 +338,10 @@ def plot_summary(s, sf):
     return O.plot_summary(O.plot_points(with_holes(scored(s, sf)).withColumn("idx", F.lit(0)), COUNT))
 
 
+def plot_cells(s, sf):
+    return P.plot_cells(plot_points(s, sf))
+
+
 # ---- the text formats: the tables are written as their files and read again
 
 
@@ -429,7 +434,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         distance_general, distance_general_bounded, distance_cdbg, distance_cdbg_bounded, distance_frontier, self_and_missing_pairs, genome_membership, genome_subgraph_edges,
         genome_distance_long, genome_mean_distance, genome_variance, genome_average_sizes, path_contraction, vertex_max_score, score_quartiles, nth_max_score, tukey_thresholds,
         ld_auto_search, outlier_rows_fixed_ld, outlier_rows_auto_ld, outlier_rows_custom_threshold, query_value_summary, largest_distance, result_rows_cdbg, result_rows_genomes,
-        result_lines_cdbg, plot_points, plot_summary, graph_additions, chain_places, chain_distances, contracted_average_sizes,
+        result_lines_cdbg, plot_points, plot_summary, plot_cells, graph_additions, chain_places, chain_distances, contracted_average_sizes,
         text_general_edges, text_unitigs, text_cdbg_edges, text_genomes, text_plot_rows, text_results, text_outliers,
     )
 }
@@ -574,6 +579,8 @@ SELECT idx, v + 1 AS v, w + 1 AS w, coalesce(distance, -1)::BIGINT AS distance,
     "plot_summary": f"""WITH {_HOLES}, p AS (SELECT * FROM sc WHERE "count" >= {COUNT})
 SELECT count(*) // 1000 AS rows_k, count(*) FILTER (distance >= 0) // 1000 AS connected_k, count(*) FILTER (distance < 0) // 1000 AS disconnected_k, count(*) FILTER (flag) // 1000 AS direct_k, min(score) AS min_score, max(score) AS max_score,
   max(distance) AS max_distance, round(log10(max(distance)))::BIGINT - 1 AS exponent FROM p""",
+    "plot_cells": f"""WITH {_HOLES}, p AS (SELECT * FROM sc WHERE "count" >= {COUNT} AND distance >= 0), e AS (SELECT max(distance) AS far, min(score) AS low, max(score) AS high FROM p)
+SELECT least(floor(distance / far * {P.COLUMNS}), {P.COLUMNS - 1})::INTEGER AS col, least(floor((score - low) / (high - low) * {P.ROWS}), {P.ROWS - 1})::INTEGER AS "row", flag AS direct, count(*) AS n FROM p, e GROUP BY 1, 2, 3""",
     "graph_additions": f"""WITH {_G}, x AS (SELECT a, b, wt FROM g1 UNION ALL SELECT n_nationkey, n_nationkey + 7, 0.5::DOUBLE FROM nation), y AS (SELECT a, b, min(wt) AS wt FROM x GROUP BY a, b)
 SELECT a::BIGINT AS src, b::BIGINT AS dst, wt AS weight FROM y UNION ALL SELECT b, a, wt FROM y""",
     "path_contraction": f"WITH RECURSIVE {_WALK} SELECT g AS genome_id, s AS src, node AS dst, d AS weight FROM ce",

@@ -106,3 +106,20 @@ def test_plot_rows_and_their_counts(spark, write):
     assert sorted(tuple(r) for r in O.plot_points(full, 10).select("idx", "distance", "direct", "connected").collect()) == [(1, -1.0, False, False), (2, 9.0, False, True)]
     assert "count" not in read_plot_rows(spark, p, write("d", "3")).columns
     assert read_plot_rows(spark, p, n=2).count() == 2
+
+
+def test_plot_is_drawn(spark, tmp_path):
+    import xml.etree.ElementTree as ET
+
+    from hopwise.sources.plots import Marks, plot_cells, plot_svg, write_plot
+
+    rows = [(0, 1, 2, 0.0, 0.1, False), (1, 1, 3, 1000.0, 0.9, True), (2, 2, 3, 500.0, 0.5, False), (3, 2, 4, None, 0.7, False), (4, 2, 5, 500.0, 0.5, False)]
+    points = O.plot_points(spark.createDataFrame(rows, "idx long, v long, w long, distance double, score double, flag boolean"))
+    assert sorted(tuple(r) for r in plot_cells(points, 10, 10).collect()) == [(0, 0, False, 1), (5, 5, False, 2), (9, 9, True, 1)]
+    svg = plot_svg(points, "a < b", "Score", Marks(200, 0.6, 0.8), Marks(outlier=0.3))
+    root = ET.fromstring(svg)
+    kinds = [e.tag.split("}")[1] for e in root.iter()]
+    assert kinds.count("line") == 4 and kinds.count("rect") == 1 + 3 and "a &lt; b" in svg and "#Disconnected: 0K" in svg
+    ET.fromstring(plot_svg(points.where("false")))
+    write_plot(points, str(tmp_path / "plot"))
+    assert "".join(open(p).read() for p in (tmp_path / "plot").glob("part-*")).startswith("<svg")
