@@ -627,3 +627,33 @@ def test_lines_odd(odd, empty):
     assert list(lines.reflowed_units(b" \n ")) == [] and [u[:3] for u in lines.reflowed_units("é\n é  b".encode())] == [(0, 7, 3)]
     long = " ".join(map(str, range(200_000))).encode()
     assert sum(1 for _ in lines.reflowed_units(long)) > 10_000
+
+
+# ---- very long texts
+
+
+def test_one_very_long_text_among_others(spark, docs, labels, tokenizer):
+    """Every operator reads a text of over a megabyte whole."""
+    import random
+
+    r = random.Random(6)
+    word = [f"{r.choice('bcdfgh')}{r.choice('aeiou')}{r.choice('lmnprst')}{n % 97}" for n in range(2000)]
+    long = "\n".join(" ".join(r.choice(word) for _ in range(40)) for _ in range(5000))
+    passage = " ".join(r.choice(word) for _ in range(300))
+    some = [(0, long + "\n" + passage, "en", "s", 1), (1, "short " + passage, "en", "s", 1), (2, None, None, None, None), (3, long.replace("\n", "  "), "en", "s", 1)]
+    df = spark.createDataFrame(some, "doc_id long, text string, lang string, source string, n_chars long").repartition(2)
+    text = {i: t or "" for i, t, *_ in some}
+    cut = by_id(repeats.remove_repeats(df))
+    assert all(cut[i]["n_bytes"] == len(t) for i, t in text.items()) and cut[1]["n_removed"] >= len(passage)
+    base = by_id(quality.quality_rules(df, quality.fit_ngram_model(docs, labels)))
+    assert {i: base[i]["n_words"] for i in text} == {i: len(t.split()) for i, t in text.items()}
+    assert all(0 <= x["score"] <= 1 for x in by_id(quality.factor_scores(df, quality.fit_factor_machine(docs, labels))).values())
+    assert all(int(x["fingerprint"], 16) == brute_fingerprint(text[i]) for i, x in by_id(simhash.near_duplicates(df)).items() if i in (1, 2))
+    ids = {i: tokenizer.encode(t, add_special_tokens=False).ids for i, t in text.items()}
+    assert {i: x["n_tokens"] for i, x in by_id(bpe.bpe_digests(df)).items()} == {i: len(x) for i, x in ids.items()}
+    packs = table(packing.packed(df))
+    assert all(sum(x["length"] for x in packs if x["doc_id"] == i) == len(ids[i]) + 1 for i in text)
+    assert sorted(x["size"] for x in table(interleaved_shards(df))) == sorted(len(t) + 8 for t in text.values())
+    assert by_id(exact_dedup(df))[0]["keep_id"] == 0
+    left = by_id(lines.without_repeated_units(df))
+    assert left[0]["text"] == text[0] and len(left[1]["text"]) < 400 and len(left[3]["text"]) < len(text[3]) // 10
