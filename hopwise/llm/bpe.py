@@ -26,7 +26,7 @@ PIECE = 1 << 14
 OPEN = 256
 HEAD = 8
 #: White-space-separated units and words of which a worker remembers the ids.
-UNITS, WORDS = 100_000, 600_000
+UNITS, WORDS = 300_000, 900_000
 
 #: White space as the tokenizers library's patterns know it.
 _SPACE = r"\t-\r \x85\xa0  -     　"
@@ -395,15 +395,15 @@ class UnitEncoder:
     def __init__(self, encoder: Encoder) -> None:
         self.encoder = encoder
         self.words = Remembered(lambda raw: packed_ids(encoder.word(raw)), WORDS)
-        #: Finds the first bytes of added tokens.
-        self.hinted = regex.compile(b"[" + b"".join({b"\\" + t.encode()[:1] for t in encoder.added}) + b"]").search if encoder.added else lambda _: None
+        #: First bytes of added tokens.
+        self.hints = sorted({t.encode()[:1] for t in encoder.added})
         #: All that is done to a unit is to compose it and to lower-case it, and letters are one match.
         self.simple = encoder.runs
         self.form = "NFC"
         self.lower = "Lowercase" in encoder.kinds
 
     def __call__(self, unit: bytes) -> bytes:
-        if not self.simple or (self.hinted(unit) and self.encoder.specials.search(unit.decode("utf-8", "replace"))):
+        if not self.simple or (any([h in unit for h in self.hints]) and self.encoder.specials.search(unit.decode("utf-8", "replace"))):
             return packed_ids(self.encoder.encode(unit.decode("utf-8", "replace")))
         if unit.isascii():
             if self.lower:
