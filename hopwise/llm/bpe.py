@@ -395,15 +395,16 @@ class UnitEncoder:
     def __init__(self, encoder: Encoder) -> None:
         self.encoder = encoder
         self.words = Remembered(lambda raw: packed_ids(encoder.word(raw)), WORDS)
-        #: First bytes of added tokens.
-        self.hints = sorted({t.encode()[:1] for t in encoder.added})
+        #: The first byte of all added tokens, or none if they differ.
+        first = {t.encode()[:1] for t in encoder.added}
+        self.hint = first.pop() if len(first) == 1 else b""
         #: All that is done to a unit is to compose it and to lower-case it, and letters are one match.
         self.simple = encoder.runs
         self.form = "NFC"
         self.lower = "Lowercase" in encoder.kinds
 
     def __call__(self, unit: bytes) -> bytes:
-        if not self.simple or (any([h in unit for h in self.hints]) and self.encoder.specials.search(unit.decode("utf-8", "replace"))):
+        if not self.simple or (self.hint in unit and self.encoder.specials and self.encoder.specials.search(unit.decode("utf-8", "replace"))):
             return packed_ids(self.encoder.encode(unit.decode("utf-8", "replace")))
         if unit.isascii():
             if self.lower:
