@@ -240,14 +240,14 @@ def _cut_out(text_column: str, need_column: str):
 
 
 class Repeats:
-    """The repeats of one table; the steps are lazy but for the table of anchors that occur twice."""
+    """The repeats of one table; the steps are lazy but for the tables of anchors that occur twice."""
 
     def __init__(self, rows: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, key: str = RID, text: str = "text") -> None:
         """rows: a key column, binary, a text column and any others."""
         if not 0 < anchor <= length < 1 << PIECE_BITS:
             raise ValueError("0 < anchor <= length is needed")
         self.rows, self.length, self.key, self.text = rows, length, key, text
-        twice = anchor_rows(rows, length, anchor, text=text).groupBy("k").count().where("count > 1").select("k")
+        twice = checkpointed(anchor_rows(rows, length, anchor, text=text).groupBy("k").count().where("count > 1").select("k"))  # so that the join can split a common anchor
         self.found = checkpointed(anchor_rows(rows, length, anchor, key, text).join(twice, "k"))
         self.segments = self.found.groupBy("k", "seg").agg(F.count("*").alias("n"), F.min(F.struct(RID, "pos", "before", "after")).alias("one"))
 
