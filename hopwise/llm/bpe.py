@@ -187,7 +187,7 @@ class Encoder:
         """Ids of one pattern match, through the transducer."""
         if self.whole and (i := self.vocab.get("".join(self.text[self.byte[b]] for b in raw) + self.suffix)) is not None:
             return [i]
-        return self.transducer.push(raw) + self.transducer.finish()
+        return self.transducer.word(raw)
 
     def segments(self, text: str) -> Iterator[str | int]:
         """The text between added tokens, and their ids."""
@@ -240,6 +240,14 @@ class Transducer:
             out += self._stable()
         return out
 
+    def word(self, raw: bytes) -> list[int]:
+        """The tokens of a whole word; one that the transducer could hold whole is not held first."""
+        if len(raw) <= self.BLOCK and self.last is None:
+            e = self.encoder
+            byte = e.byte
+            return e.merged([*[byte[b] for b in raw[:-1]], e.last_byte[raw[-1]]])
+        return self.push(raw) + self.finish()
+
     def _stable(self) -> list[int]:
         ahead = self.encoder.lookahead
         if ahead is None or len(self.held) < ahead + self.BLOCK:
@@ -450,18 +458,14 @@ def streamed(e: Encoder, run: memoryview) -> Iterator[list[int]]:
         yield stream.feed(bytes(run[at : at + PIECE]), at + PIECE >= len(run))
 
 
-def packed_parts(source: str, text: bytes) -> Iterator[bytes]:
-    """The packed ids of a text, in parts."""
-    e = encoder_of(source)
+def packed_parts(e: Encoder, known: Remembered, text: bytes) -> list[bytes]:
+    """The packed ids of a text, in parts; known: a worker's memory of units."""
     if not e.units:
-        yield packed_ids(e.encode(text.decode("utf-8", "replace")))
-        return
-    known = remembered(source, "ids", lambda _, packed: packed)
+        return [packed_ids(e.encode(text.decode("utf-8", "replace")))]
+    parts: list[bytes] = []
     for block in unit_blocks(text):
-        if isinstance(block, list):
-            yield from known.of(block)
-        else:
-            yield from map(packed_ids, streamed(e, block))
+        parts += known.of(block) if isinstance(block, list) else map(packed_ids, streamed(e, block))
+    return parts
 
 
 _worker: dict = {}

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hopwise.llm.bpe import TOKENIZER, packed_ids, packed_parts
+from hopwise.llm.bpe import TOKENIZER, encoder_of, packed_ids, packed_parts, remembered
 from hopwise.llm.common import as_bytes, checkpointed, picked, rows_at_a_time
 
 #: Tokens of a sequence, and the id that ends a document.
@@ -89,11 +89,11 @@ def packed(df: DataFrame, path: str = TOKENIZER, size: int = SIZE, end_id: int =
 
     def first(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, packer, n, kind = TaskContext.get().partitionId(), BoundedPacker(size, most), 0, None
-        end = packed_ids([end_id])
+        end, e, known = packed_ids([end_id]), encoder_of(source), remembered(source, "ids", lambda _, packed: packed)
         for b in rows_at_a_time(batches):
             kind, out = b["doc_id"].type, []
             for doc, t in zip(b["doc_id"].to_pylist(), as_bytes(b["text"]), strict=True):
-                ids = b"".join([*packed_parts(source, t), end])
+                ids = b"".join([*packed_parts(e, known, t), end])
                 total = len(ids) // 4
                 for start in range(0, total, size):
                     length = min(size, total - start)
