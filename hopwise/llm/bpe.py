@@ -400,9 +400,9 @@ def packed_ids(ids: list[int]) -> bytes:
 class UnitEncoder:
     """Packed ids of a white-space-free unit. A word of letters is known by itself, so that punctuation and case beside it cost no second merge."""
 
-    def __init__(self, encoder: Encoder) -> None:
+    def __init__(self, encoder: Encoder, words: int = WORDS) -> None:
         self.encoder = encoder
-        self.words = Remembered(lambda raw: packed_ids(encoder.word(raw)), WORDS)
+        self.words = Remembered(lambda raw: packed_ids(encoder.word(raw)), words)
         #: The first byte of all added tokens, or none if they differ.
         first = {t.encode()[:1] for t in encoder.added}
         self.hint = first.pop() if len(first) == 1 else b""
@@ -471,13 +471,13 @@ def packed_parts(e: Encoder, known: Remembered, text: bytes) -> list[bytes]:
 _worker: dict = {}
 
 
-def remembered(source: str, kind: str, made) -> Remembered:
-    """A worker's memory of units, kept from task to task; made: (encoder, packed ids) -> what is remembered of a unit."""
-    key = (hash(source), kind)
+def remembered(source: str, kind: str, made, units: int = UNITS) -> Remembered:
+    """A worker's memory of so many units and twice as many words, kept from task to task; made: (encoder, packed ids) -> what is remembered of a unit."""
+    key = (hash(source), kind, units)
     if key not in _worker:
         e = encoder_of(source)
-        ids_of = UnitEncoder(e)
-        _worker[key] = Remembered(lambda unit: made(e, ids_of(unit)), UNITS)
+        ids_of = UnitEncoder(e, units * WORDS // UNITS)
+        _worker[key] = Remembered(lambda unit: made(e, ids_of(unit)), units)
     return _worker[key]
 
 

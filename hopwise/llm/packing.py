@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hopwise.llm.bpe import TOKENIZER, encoder_of, packed_ids, packed_parts, remembered
+from hopwise.llm.bpe import TOKENIZER, UNITS, encoder_of, packed_ids, packed_parts, remembered
 from hopwise.llm.common import as_bytes, checkpointed, picked, rows_at_a_time
 
 #: Tokens of a sequence, and the id that ends a document.
@@ -70,7 +70,7 @@ def _numbered(windows: Iterable[list], first: int, part: int, closed: bool) -> I
             offset += length
 
 
-def packed(df: DataFrame, path: str = TOKENIZER, size: int = SIZE, end_id: int = END_ID, most: int = OPEN, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def packed(df: DataFrame, path: str = TOKENIZER, size: int = SIZE, end_id: int = END_ID, most: int = OPEN, text: str = "text", doc_id: str = "doc_id", remember: int = UNITS) -> DataFrame:
     """One row per piece of a document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is its ids and end_id. While it has a whole sequence left, that is a piece and a sequence of its own; the
@@ -78,6 +78,8 @@ def packed(df: DataFrame, path: str = TOKENIZER, size: int = SIZE, end_id: int =
     meets in rounds: the pieces of MEET tasks, largest first, are packed again in one, with as many open windows, until
     one task is left. So a task never holds more than MEET times `most` windows' pieces.
 
+    remember: units of which a worker keeps the ids, which costs memory and saves time; results are the same.
+
     A text of any length is encoded whole and cut into as many pieces as it needs. Null and empty texts are one piece of one id; doc_ids may be null or repeated, each row being packed by itself; an
     empty table gives an empty result; other columns are not looked at. Sequences are padded to `size` by the writer.
     """
@@ -89,7 +91,7 @@ def packed(df: DataFrame, path: str = TOKENIZER, size: int = SIZE, end_id: int =
 
     def first(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, packer, n, kind = TaskContext.get().partitionId(), BoundedPacker(size, most), 0, None
-        end, e, known = packed_ids([end_id]), encoder_of(source), remembered(source, "ids", lambda _, packed: packed)
+        end, e, known = packed_ids([end_id]), encoder_of(source), remembered(source, "ids", lambda _, packed: packed, remember)
         for b in rows_at_a_time(batches):
             kind, out = b["doc_id"].type, []
             for doc, t in zip(b["doc_id"].to_pylist(), as_bytes(b["text"]), strict=True):
