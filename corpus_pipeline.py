@@ -32,7 +32,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents connected by a Jaccard similarity of 0.8 or more of their five-word shingles, the smallest doc_id stays.
 
-    SimHash pivot tables discard candidates, the shingles verify what is left.
+    Texts with a band of their SimHash alike are candidates, its pivot tables discard, the shingles verify what is left.
     """
     return without_similar(docs)
 

@@ -1,4 +1,4 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: candidates from banded minima, discarded by SimHash pivot tables and minima, verified by their shingles; components."""
+"""Near-duplicates by the Jaccard similarity of word shingles: candidates from the bands of a wide SimHash, discarded by pivot tables and whole fingerprints, verified by their shingles; components."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hopwise.llm.common import RID, arrow, as_bytes, by_group, checkpointed, only, picked, row_key, rows_at_a_time
+from hopwise.llm.common import RID, arrow, as_bytes, checkpointed, only, picked, row_key, rows_at_a_time
 from hopwise.llm.components import components, dealt_out
 from hopwise.llm.hashing import mixed
 from hopwise.llm.simhash import SEED, PivotTable
@@ -18,15 +18,20 @@ from hopwise.llm.simhash import SEED, PivotTable
 SHINGLE_WORDS = 5
 #: Similar texts have NUM / DEN of their distinct shingles in common.
 NUM, DEN = 4, 5
-#: The shingles' hashes are dealt out to BINS classes, of each of which the least one counts; BAND of them are a key. The least one of a class is common to two sets with a probability of their similarity or more.
-BAND, BINS = 4, 96
-#: Sets of MANY shingles or more whose fingerprints differ in over FAR bits are not compared; at 0.8 it is about 10 bits of 64.
-FAR, MANY = 24, 64
-#: Sets whose common minima are so many standard deviations below what 0.8 gives are not compared.
-DEVIATIONS = 5
+#: 64-bit words of a fingerprint and the bits of one of its bands. At 0.8 a bit differs with a probability of 0.1515 (large sets; 0.161 at most from ten shingles on), so 2e-6 of such pairs have no band alike (2e-5).
+WORDS, BAND = 44, 16
+BANDS = 64 * WORDS // BAND
+#: Bits in which candidates may differ: of the first 64, of the first 128, and of all.
+FAR, FAR_TWO, FAR_ALL = 26, 44, 64 * WORDS // 5
+#: Bands, two at a time, in which rows are first compared with one row each.
+FIRST = 24
+#: Sets of FEW shingles or less, whose bits differ more, also meet by what is left without one shingle, which is exact.
+FEW = 9
 #: Rows of a bucket that are compared in one group.
 SLICE = 1024
 
+_SALTS = mixed(np.arange(1, WORDS + 1, dtype=np.uint64))
+
 
 def shingle_set(words: list[bytes], k: int = SHINGLE_WORDS, block: int = 1 << 15) -> np.ndarray:
     """The distinct XXH64 of the shingles in order; of fewer than k words one shingle of all, of no words none."""
@@ -44,73 +49,56 @@ def shingle_set(words: list[bytes], k: int = SHINGLE_WORDS, block: int = 1 << 15
     return out[0] if len(out) == 1 else np.unique(np.concatenate(out))
 
 
-def set_fingerprint(h: np.ndarray) -> int:
-    """SimHash of distinct shingles."""
-    total = np.zeros(64, np.int64)
-    for at in range(0, len(h), 1 << 15):
-        part = h[at : at + (1 << 15)]
-        total += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * total > len(h), bitorder="little").tobytes(), "little")
+def set_fingerprint(h: np.ndarray) -> np.ndarray:
+    """SimHash of distinct shingles, WORDS words: each bit that is set in over half of the hashes."""
+    total = np.zeros(64 * WORDS, np.int64)
+    for at in range(0, len(h), 255):
+        part = mixed(h[at : at + 255, None] ^ _SALTS)
+        total += np.unpackbits(part.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * total > len(h), bitorder="little").view(np.uint64)
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def minima(h: np.ndarray) -> np.ndarray:
-    """16 bits, not 0, of the least hash in each class; 0 where there is none. h: in order."""
-    out = np.zeros(BINS, np.uint16)
-    if len(h):
-        at, first = np.unique((h % np.uint64(BINS)).astype(np.int64), return_index=True)
-        out[at] = (mixed(h[first]) % np.uint64(65535)).astype(np.uint16) + 1
-    return out
-
-
-def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which rows of two arrays of minima have enough in common."""
-    both = ((a | b) != 0).sum(axis=-1)
-    common = ((a == b) & (a != 0)).sum(axis=-1)
-    p = NUM / DEN
-    return common >= p * both - DEVIATIONS * np.sqrt(p * (1 - p) * both)
+def without_one(h: np.ndarray) -> list[int]:
+    """Digests of a set of FEW shingles or less and of what is left without each; of larger sets none."""
+    return [_signed(xxhash.xxh64_intdigest(x.tobytes(), SEED)) for x in (h, *(np.delete(h, i) for i in range(len(h))))] if 0 < len(h) <= FEW else []
 
 
 def _sketches(shingle_words: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("node", pa.int64()), ("fp", pa.int64()), ("size", pa.int64()), ("minima", pa.binary()), ("shingles", pa.binary())])
+        schema = pa.schema([("node", pa.int64()), ("size", pa.int64()), ("bits", pa.binary()), ("few", pa.list_(pa.int64())), ("shingles", pa.binary())])
         for b in rows_at_a_time(batches):
             out = []
             for t in as_bytes(b["text"]):
                 h = shingle_set(t.lower().split(), shingle_words)
                 short = np.unique((h >> np.uint64(32)).astype(np.uint32))
-                out.append((_signed(xxhash.xxh64_intdigest(h.tobytes(), SEED)), _signed(set_fingerprint(h)), len(h), minima(h).tobytes(), short.tobytes()))
+                out.append((_signed(xxhash.xxh64_intdigest(h.tobytes(), SEED)), len(h), set_fingerprint(h).tobytes(), without_one(h), short.tobytes()))
             made = arrow(schema, list(zip(*out, strict=True)) if out else [[]] * 5)
             yield pa.RecordBatch.from_arrays([b[RID], b["doc_id"], *made.columns], names=[RID, "doc_id", *schema.names])
 
     return run
 
 
-def _minima_of(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, BINS)
+def _words_of(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, WORDS)
 
 
-def _alike(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) with both fingerprints, sizes and minima: those that may be similar."""
-    for b in rows_at_a_time(batches, 1 << 12):
-        n = b.num_rows
-        fps, size = (np.r_[b[f"{c}_a"].to_numpy(), b[f"{c}_b"].to_numpy()] for c in ("fp", "size"))
-        left = np.flatnonzero(alike(_minima_of(b["minima_a"]), _minima_of(b["minima_b"]))) if n else np.zeros(0, np.int64)
-        ok = _near(PivotTable(fps.view(np.uint64), FAR), size, left, left + n)
-        yield b.select(["a", "b"]).take(pa.array(left[ok]))
+def near(table: PivotTable, second: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which of the pairs (i, j) their first two words allow: the pivot table of the first discards, whole words decide."""
+    ok = table.close(i, j)
+    apart = np.bitwise_count(table.fps[i[ok]] ^ table.fps[j[ok]]) + np.bitwise_count((second[i[ok]] ^ second[j[ok]]).view(np.uint64))
+    return ok[apart <= FAR_TWO]
 
 
-def _near(table: PivotTable, size: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Which of the pairs (i, j) sizes and fingerprints allow; the pivot table discards, whole fingerprints decide."""
-    low, high = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
-    ok = DEN * low >= NUM * high
-    large = np.flatnonzero(ok & (low >= MANY))
-    ok[large] = False
-    ok[large[table.close(i[large], j[large])]] = True
-    return np.flatnonzero(ok)
+def _alike(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) with both sizes and fingerprints: those that may be similar."""
+    for b in rows_at_a_time(batches, 1 << 12):
+        low, high = (f(b["size_a"].to_numpy(), b["size_b"].to_numpy()) for f in (np.minimum, np.maximum))
+        apart = np.bitwise_count(_words_of(b["bits_a"]) ^ _words_of(b["bits_b"])).sum(axis=1, dtype=np.int64)
+        yield b.select(["a", "b"]).filter(pa.array((DEN * low >= NUM * high) & ((apart <= FAR_ALL) | (high <= FEW))))
 
 
 def _similar(x: bytes, y: bytes) -> bool:
@@ -125,83 +113,94 @@ def _verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-_ROW = "group long, band int, slice int, node long, root long, main boolean, own int, fp long, size long, minima binary"
-
-
-def _candidates(t: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
-    """Rows of a group that may be similar to a later one, with these. A pair of different roots counts in the first band that it shares, in the slice of its main row, or else of its first."""
-    node, root, own, band, here, fp, size = (t[c].to_numpy() for c in ("node", "root", "own", "band", "slice", "fp", "size"))
-    main, m, table = t["main"].to_numpy(), _minima_of(t["minima"]), PivotTable(fp.view(np.uint64), FAR)
-    for i in range(len(node) - 1):
-        y = np.arange(i + 1, len(node))
-        y = y[(root[y] != root[i]) & (band[y] == band[i])]
-        alone = ~(main[y] | main[i])
-        y = y[~alone | (np.where(node[y] < node[i], own[y], own[i]) == here[i])]
-        y = y[_near(table, size, np.full(len(y), i), y)] if len(y) else y
-        y = y[alike(m[i], m[y])] if len(y) else y
-        if len(y):
-            shared = ((m[y] == m[i]).reshape(len(y), -1, BAND).all(axis=2)) & m[i].reshape(-1, BAND).any(axis=1)
-            y = y[shared.argmax(axis=1) == band[i]]
-        if len(y):
-            yield i, y
-
-
-def _promising(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of groups those rows that have a candidate."""
-    for t in by_group(batches):
-        found = np.zeros(t.num_rows, bool)
-        for i, y in _candidates(t):
-            found[i] = True
-            found[y] = True
-        yield from t.filter(pa.array(found)).to_batches()
-
-
-def _links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of groups, with the rows' shingles, the similar pairs that connect what is not yet connected."""
-    for t in by_group(batches):
-        node, shingles = t["node"].to_numpy(), t["shingles"].to_pylist()
-        root = t["root"].to_numpy().copy()
-        found = []
-        for i, y in _candidates(t):
-            for j in y.tolist():
-                if root[i] != root[j] and _similar(shingles[i], shingles[j]):
-                    root[root == root[j]] = root[i]
-                    found.append(sorted((int(node[i]), int(node[j]))))
-        yield arrow(pa.schema([("a", pa.int64()), ("b", pa.int64())]), list(zip(*found, strict=True)) if found else [[], []])
+_ROW = "key long, node long, root long, first long, second long"
 
 
-def similar_links(nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """nodes: node, fp, size, minima; sets: node, shingles. (a, b), enough of the similar pairs of nodes to connect all that they connect.
+def _banded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of nodes (node, root, bits) a row for each band of the fingerprint: its number and bits, and the first two words."""
+    schema = pa.schema([(c.split()[0], pa.int64()) for c in _ROW.split(", ")])
+    for b in rows_at_a_time(batches, 64):
+        words = _words_of(b["bits"])
+        key = words.view(np.uint16).astype(np.int64) + (np.arange(BANDS) << BAND)
+        each = (b["node"].to_numpy(), b["root"].to_numpy(), *words[:, :2].view(np.int64).T)
+        yield arrow(schema, [key.ravel(), *(np.repeat(x, BANDS) for x in each)])
+
+
+def _meetings(dealt: bool):
+    """Rows come sorted by group; one that a batch breaks off is carried into the next."""
+    names = ["group", "node", "root", "first", "second", *["main", "own", "slice"] * dealt]
+
+    def pairs(group: np.ndarray, node: np.ndarray, root: np.ndarray, first: np.ndarray, second: np.ndarray, main=None, own=None, here=None) -> Iterator[pa.RecordBatch]:
+        table, i, d = PivotTable(first.view(np.uint64), FAR), np.arange(len(group)), 1
+        while len(i := i[: np.searchsorted(i, len(group) - d)]) and len(i := i[group[i] == group[i + d]]):
+            x = i[root[i] != root[i + d]]
+            if dealt:
+                x = x[(main[x] | main[x + d]).astype(bool) | (np.where(node[x] < node[x + d], own[x], own[x + d]) == here[x])]
+            x = x[near(table, second, x, x + d)]
+            if len(x):
+                yield arrow(pa.schema([("a", pa.int64()), ("b", pa.int64())]), [np.minimum(node[x], node[x + d]), np.maximum(node[x], node[x + d])])
+            d += 1
 
-    Nodes with a band of minima in common are in one bucket. First each is compared with one of a bucket, another in
-    each bucket, so that a large group is connected by links in its size; then the pairs of a bucket that are not
-    connected yet, each in one bucket only. Sizes, SimHash pivot tables and minima discard candidates, the shingles of
-    those rows that still have one verify. In a bucket of over SLICE rows those of its commonest root are dealt out to
-    slices, and the others go to all slices; so a large group that is connected but for a few is not compared with itself.
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * len(names)
+        for b in batches:
+            held = [np.r_[x, b[c].to_numpy(zero_copy_only=False)] for x, c in zip(held, names, strict=True)]
+            cut = np.searchsorted(held[0], held[0][-1]) if len(held[0]) else 0
+            if cut:
+                yield from pairs(*[x[:cut] for x in held])
+                held = [x[cut:] for x in held]
+        yield from pairs(*held)
+
+    return run
+
+
+def _in_bands(rooted: DataFrame, large: DataFrame) -> DataFrame:
+    """rooted: node, root, bits; large: roots of over SLICE nodes. (a, b), pairs of different roots with a band in common that their first words allow.
+
+    Buckets with over SLICE nodes of such roots are dealt out to slices.
+    """
+    met = lambda df, dealt: df.repartition("group").sortWithinPartitions("group").mapInArrow(_meetings(dealt), "a long, b long")
+    keyed = rooted.mapInArrow(_banded, _ROW)
+    if not large.limit(1).count():
+        return met(keyed.withColumnRenamed("key", "group"), False)
+    theirs = rooted.join(large, "root").select("node", "root", "bits").mapInArrow(_banded, _ROW)
+    hot = checkpointed(theirs.groupBy("key").count().where(f"count > {SLICE}").select("key"))
+    dealt = dealt_out(keyed.join(hot, "key"), "node", SLICE).select("group", "node", "root", "first", "second", "main", "own", "slice")
+    return met(keyed.join(hot, "key", "left_anti").withColumnRenamed("key", "group"), False).union(met(dealt, True))
+
+
+def similar_links(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """nodes: node, size, bits, few; sets: node, shingles. (a, b), enough of the similar pairs of nodes to connect all that they connect.
+
+    Nodes with a band of their SimHash in common are in one bucket. First each is compared with one of those that have
+    two bands in common, another in each bucket, so that a large group is connected by links in its size; then the
+    pairs of each band's buckets that are not connected yet. SimHash pivot tables and whole fingerprints discard
+    candidates, the shingles verify the rest. In a bucket with over SLICE rows of a large root those of its commonest
+    root are dealt out to slices, and the others go to all slices; so a large group that is connected but for a few is
+    not compared with itself.
     """
-    bands = F.posexplode(F.array(*[F.substring("minima", 2 * BAND * i + 1, 2 * BAND) for i in range(BINS // BAND)])).alias("band", "part")
-    keyed = nodes.select("node", "fp", "size", bands).where(F.col("part") != F.lit(bytes(2 * BAND))).select("node", "fp", "size", "band", F.xxhash64("band", "part").alias("key"))
-    first = F.min(F.struct(F.xxhash64("key", "node").alias("order"), "node", "size")).alias("lead")
-    many = checkpointed(keyed.groupBy("key").agg(F.count("*").alias("n"), first).where("n > 1").select("key", F.col("lead.node").alias("lead"), F.col("lead.size").alias("of")))
-    met = checkpointed(keyed.join(many, "key").select("key", "band", "node", "fp", "size", "lead", "of"))
-
-    star = met.where((F.col("lead") != F.col("node")) & (DEN * F.least("size", "of") >= NUM * F.greatest("size", "of")))
-    star = star.select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
-    beside = lambda c: nodes.select(F.col("node").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("fp", "size", "minima")])
-    pairs = checkpointed(star.join(beside("a"), "a").join(beside("b"), "b").mapInArrow(_alike, "a long, b long"))
-    held = checkpointed(sets.join(met.select("node").distinct(), "node").dropDuplicates(["node"]))
-    links = pairs.join(held.toDF("a", "of_a"), "a").join(held.toDF("b", "of_b"), "b").select("a", "b", "of_a", "of_b")
-    links = checkpointed(links.mapInArrow(_verified, "a long, b long"))
+    beside = lambda c: nodes.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("bits").alias(f"bits_{c}"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = checkpointed(pairs.distinct())
+        pairs = checkpointed(pairs.join(beside("a"), "a").join(beside("b"), "b").mapInArrow(_alike, "a long, b long"))
+        held = checkpointed(sets.join(pairs.select("a").union(pairs.select("b")).toDF("node").distinct(), "node").dropDuplicates(["node"]))
+        links = pairs.join(held.toDF("a", "of_a"), "a").join(held.toDF("b", "of_b"), "b").select("a", "b", "of_a", "of_b")
+        return checkpointed(links.mapInArrow(_verified, "a long, b long"))
+
+    two = F.explode(F.array(*[F.xxhash64(F.lit(i), F.substring("bits", BAND // 4 * i + 1, BAND // 4)) for i in range(FIRST)])).alias("key")
+    order = F.struct(F.xxhash64("key", "node").alias("order"), "node", "size")
+    keyed = nodes.where("size > 0").select("node", "size", two).select("key", "node", "size", order.alias("lead"))
+    small = nodes.select("node", "size", F.explode("few").alias("key")).select("key", "node", "size", F.struct(F.col("size").alias("order"), "node", "size").alias("lead"))
+    keyed = keyed.union(small)
+    many = checkpointed(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("lead").alias("lead")).where("n > 1").select("key", F.col("lead.node").alias("with"), F.col("lead.size").alias("of")))
+    star = keyed.join(many, "key").where((F.col("with") != F.col("node")) & (DEN * F.least("size", "of") >= NUM * F.greatest("size", "of")))
+    links = verified(star.select(F.least("with", "node").alias("a"), F.greatest("with", "node").alias("b")))
 
     label = components(links).withColumnRenamed("root", "of")
-    rooted = checkpointed(met.drop("lead", "of").join(label, "node", "left").withColumn("root", F.coalesce("of", "node")).drop("of"))
-    dealt = dealt_out(rooted, "node", SLICE)
-    dealt = dealt.join(nodes.select("node", "minima"), "node")
-    dealt = dealt.select(*[c.split()[0] for c in _ROW.split(", ")])
-    grouped = lambda df: df.repartition("group").sortWithinPartitions("group", "node")
-    some = checkpointed(grouped(dealt).mapInArrow(_promising, _ROW))
-    rest = grouped(some.join(held, "node")).mapInArrow(_links, "a long, b long")
-    return links.union(checkpointed(rest))
+    rooted = checkpointed(nodes.where("size > 0").select("node", "bits").join(label, "node", "left").select("node", F.coalesce("of", "node").alias("root"), "bits"))
+    large = checkpointed(rooted.groupBy("root").count().where(f"count > {SLICE}").select("root"))
+    return links.union(verified(_in_bands(rooted, large)))
 
 
 def similar_documents(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle_words: int = SHINGLE_WORDS) -> DataFrame:
@@ -214,10 +213,10 @@ def similar_documents(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """
     rows = picked(df, doc_id=doc_id, text=text).withColumn(RID, row_key("doc_id", "text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    docs = checkpointed(rows.mapInArrow(_sketches(shingle_words), f"{RID} binary, doc_id {kind}, node long, fp long, size long, minima binary, shingles binary"))
+    docs = checkpointed(rows.mapInArrow(_sketches(shingle_words), f"{RID} binary, doc_id {kind}, node long, size long, bits binary, few array<long>, shingles binary"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(RID).alias("row"))).alias("first")
-    nodes = checkpointed(docs.groupBy("node").agg(first, F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("minima").alias("minima")))
-    links = similar_links(nodes.select("node", "fp", "size", "minima"), docs.select("node", "shingles"))
+    nodes = checkpointed(docs.groupBy("node").agg(first, F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("few").alias("few")))
+    links = similar_links(nodes.select("node", "size", "bits", "few"), docs.select("node", "shingles"))
     rooted = checkpointed(nodes.select("node", "first").join(components(links).withColumnRenamed("root", "of"), "node", "left").select("node", "first", F.coalesce("of", "node").alias("root")))
     best = checkpointed(rooted.groupBy("root").agg(F.min("first").alias("best")))  # so that the join can split a large component
     return docs.select(RID, "doc_id", "node").join(rooted.join(best, "root").select("node", "best"), "node").select(RID, "doc_id", F.col("best.id").alias("component_id"), "best.row")

@@ -3,6 +3,7 @@
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -76,3 +77,31 @@ def test_shingle_sets_in_blocks():
     w = [b"%d" % (i % 57) for i in range(200)]
     assert all(jaccard.shingle_set(w, 5, n).tolist() == jaccard.shingle_set(w, 5).tolist() for n in (1, 3, 64)) and len(jaccard.shingle_set(w, 5)) == 57
     assert len(jaccard.shingle_set([], 5)) == 0 and len(jaccard.shingle_set(w[:3], 5)) == 1
+
+
+def test_simhash_bands_alone_make_candidates(spark):
+    """Of sets with all shingles in common those are linked whose fingerprints have a band alike, small ones too."""
+    def linked(flipped):
+        word = np.arange(jaccard.WORDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        bits = [word.tobytes(), (word ^ flipped).tobytes()]
+        nodes = spark.createDataFrame([(i, 12, bytearray(b), []) for i, b in enumerate(bits)], "node long, size long, bits binary, few array<long>")
+        sets = spark.createDataFrame([(i, bytearray(np.arange(12, dtype=np.uint32).tobytes())) for i in range(2)], "node long, shingles binary")
+        return jaccard.similar_links(nodes, sets).distinct().count()
+
+    assert linked(np.uint64(0x0001_0000_0001_0001)) == 1  # a band of each word is alike
+    assert linked(np.uint64(0x0001_0001_0001_0001)) == 0  # none is
+    assert linked(np.uint64(0x0000_FFFF_FFFF_FFFF)) == 0  # too many of the bits differ
+
+
+def test_similar_sets_have_a_band_alike():
+    r = np.random.default_rng(1)
+    for common, one, other in [(16, 2, 2), (40, 5, 5), (160, 20, 20), (160, 0, 40)] * 50:
+        h = r.integers(0, 1 << 63, common + one + other, dtype=np.uint64)
+        a, b = (jaccard.set_fingerprint(x) for x in (h[: common + one], np.r_[h[:common], h[common + one :]]))
+        assert (a.view(np.uint16) == b.view(np.uint16)).any() and np.bitwise_count(a ^ b).sum() <= jaccard.FAR_ALL
+
+
+def test_sets_of_few_shingles_meet_without_one():
+    h = np.arange(1, 10, dtype=np.uint64)
+    assert all(set(jaccard.without_one(h[:n])) & set(jaccard.without_one(np.delete(h[:n], i))) for n in range(5, 10) for i in range(n))
+    assert jaccard.without_one(h[:0]) == [] and jaccard.without_one(np.arange(10, dtype=np.uint64)) == []
