@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hopwise.lineage import unsized
 from hopwise.llm.common import checkpointed
 
 
@@ -27,7 +28,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         up = low.select(F.col("node").alias("low"), F.col("low").alias("top"))
         after = checkpointed(low.join(up, "low").select("node", "root", F.col("top").alias("now")))
         moved = after.where("now <> root").limit(1).count()
-        label = after.select("node", F.col("now").alias("root"))
+        label = unsized(after.select("node", F.col("now").alias("root")))
         if not moved:
             return label
 

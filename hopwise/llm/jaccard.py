@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hopwise.llm.common import RID, arrow, as_bytes, checkpointed, only, picked, row_key, rows_at_a_time
+from hopwise.llm.common import RID, arrow, as_bytes, by_group, checkpointed, only, picked, row_key, rows_at_a_time
 from hopwise.llm.components import components, dealt_out
 from hopwise.llm.hashing import mixed
 from hopwise.llm.simhash import SEED, PivotTable
@@ -23,12 +23,20 @@ WORDS, BAND = 44, 16
 BANDS = 64 * WORDS // BAND
 #: Bits in which candidates may differ: of the first 64, of the first 128, and of all.
 FAR, FAR_TWO, FAR_ALL = 26, 44, 64 * WORDS // 5
+#: Words that are compared in the buckets of a band, where a row has few that are near, and the bits in which they may differ; at 0.8 it is 155 of 1024 (165 at most), with a deviation of 12.
+MORE, FAR_MORE = 16, 240
+#: Bands that are looked through first; pairs of a cluster that these bring together are compared then and pass the rest.
+SOON = 16
 #: Bands, two at a time, in which rows are first compared with one row each.
 FIRST = 24
 #: Sets of FEW shingles or less, whose bits differ more, also meet by what is left without one shingle, which is exact.
 FEW = 9
 #: Rows of a bucket that are compared in one group.
 SLICE = 1024
+#: A cluster of candidates is verified in slices of so many rows, in so many slices where that makes larger ones, but not of over SLICE.
+PART, PARTS = 64, 16
+#: Bits of the map of nodes by which shingles are picked before they are shuffled. It may let others pass, as the join after it decides.
+MAP = 1 << 23
 
 _SALTS = mixed(np.arange(1, WORDS + 1, dtype=np.uint64))
 
@@ -82,8 +90,8 @@ def _sketches(shingle_words: int):
     return run
 
 
-def _words_of(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, WORDS)
+def _words_of(column: pa.ChunkedArray | pa.Array, words: int = WORDS) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, words)
 
 
 def near(table: PivotTable, second: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -93,12 +101,21 @@ def near(table: PivotTable, second: np.ndarray, i: np.ndarray, j: np.ndarray) ->
     return ok[apart <= FAR_TWO]
 
 
+def sizes_alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return DEN * np.minimum(x, y) >= NUM * np.maximum(x, y)
+
+
+def may_be_similar(x: np.ndarray, size_x: np.ndarray, y: np.ndarray, size_y: np.ndarray, far: int = FAR_ALL) -> np.ndarray:
+    """Which pairs of fingerprints (their first words, with the bits that may differ in these) and sizes are candidates."""
+    high = np.maximum(size_x, size_y)
+    return sizes_alike(size_x, size_y) & ((np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64) <= far) | (high <= FEW))
+
+
 def _alike(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b) with both sizes and fingerprints: those that may be similar."""
     for b in rows_at_a_time(batches, 1 << 12):
-        low, high = (f(b["size_a"].to_numpy(), b["size_b"].to_numpy()) for f in (np.minimum, np.maximum))
-        apart = np.bitwise_count(_words_of(b["bits_a"]) ^ _words_of(b["bits_b"])).sum(axis=1, dtype=np.int64)
-        yield b.select(["a", "b"]).filter(pa.array((DEN * low >= NUM * high) & ((apart <= FAR_ALL) | (high <= FEW))))
+        ok = may_be_similar(_words_of(b["bits_a"]), b["size_a"].to_numpy(), _words_of(b["bits_b"]), b["size_b"].to_numpy())
+        yield b.select(["a", "b"]).filter(pa.array(ok))
 
 
 def _similar(x: bytes, y: bytes) -> bool:
@@ -113,78 +130,201 @@ def _verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-_ROW = "key long, node long, root long, first long, second long"
+_ROW = "key long, node long, root long, seen long, size long, first long, second long"
+
+
+def _banded(bands: range):
+    """Of nodes (node, root, seen, size, bits) a row for each of these bands of the fingerprint: its number and bits, and the first two words."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([(c.split()[0], pa.int64()) for c in _ROW.split(", ")])
+        for b in rows_at_a_time(batches, 64):
+            words = _words_of(b["bits"])
+            key = words.view(np.uint16)[:, bands.start : bands.stop].astype(np.int64) + (np.array(bands) << BAND)
+            each = (*(b[c].to_numpy() for c in ("node", "root", "seen", "size")), *words[:, :2].view(np.int64).T)
+            yield arrow(schema, [key.ravel(), *(np.repeat(x, len(bands)) for x in each)])
+
+    return run
+
+
+def _group_by_group(batches: Iterable[pa.RecordBatch], columns: dict[str, int], rows) -> Iterator[pa.RecordBatch]:
+    """What rows() makes of whole groups, several at a time, of rows that come sorted by group; one that a batch breaks off is carried into the next. columns: words of each, 0 of numbers."""
+    held = None
+    for b in batches:
+        new = [_words_of(b[c], n) if n else b[c].to_numpy(zero_copy_only=False) for c, n in columns.items()]
+        held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+        cut = np.searchsorted(held[0], held[0][-1]) if len(held[0]) else 0
+        if cut:
+            yield rows(*[x[:cut] for x in held])
+            held = [x[cut:] for x in held]
+    if held is not None:
+        yield rows(*held)
+
+
+def _at_distance(group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each d from 1 on and the rows i that are of the same group as i + d."""
+    i, d = np.arange(len(group)), 1
+    while len(i := i[: np.searchsorted(i, len(group) - d)]) and len(i := i[group[i] == group[i + d]]):
+        yield d, i
+        d += 1
+
+
+def _open(x: np.ndarray, d: int, node: np.ndarray, root: np.ndarray, seen: np.ndarray, size: np.ndarray, main=None, own=None, here=None) -> np.ndarray:
+    """Which pairs (x, x + d) are neither connected nor compared, and of sizes alike; of dealt out rows those that count in this slice."""
+    x = x[(root[x] != root[x + d]) & (seen[x] != seen[x + d])]
+    x = x[sizes_alike(size[x], size[x + d])]
+    return x if main is None else x[(main[x] | main[x + d]).astype(bool) | (np.where(node[x] < node[x + d], own[x], own[x + d]) == here[x])]
 
 
-def _banded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of nodes (node, root, bits) a row for each band of the fingerprint: its number and bits, and the first two words."""
-    schema = pa.schema([(c.split()[0], pa.int64()) for c in _ROW.split(", ")])
-    for b in rows_at_a_time(batches, 64):
-        words = _words_of(b["bits"])
-        key = words.view(np.uint16).astype(np.int64) + (np.arange(BANDS) << BAND)
-        each = (b["node"].to_numpy(), b["root"].to_numpy(), *words[:, :2].view(np.int64).T)
-        yield arrow(schema, [key.ravel(), *(np.repeat(x, BANDS) for x in each)])
+_KEPT = {"group": "long", "node": "long", "root": "long", "seen": "long", "size": "long"}
+_DEALT = {"main": "boolean", "own": "int", "slice": "int"}
 
 
-def _meetings(dealt: bool):
-    """Rows come sorted by group; one that a batch breaks off is carried into the next."""
-    names = ["group", "node", "root", "first", "second", *["main", "own", "slice"] * dealt]
+def _promising(dealt: bool):
+    """Of buckets those rows that are near another one's first words."""
+    names = [*_KEPT, *_DEALT] if dealt else [*_KEPT]
+    kinds = [pa.int64()] * len(_KEPT) + [pa.bool_(), pa.int32(), pa.int32()] * dealt
 
-    def pairs(group: np.ndarray, node: np.ndarray, root: np.ndarray, first: np.ndarray, second: np.ndarray, main=None, own=None, here=None) -> Iterator[pa.RecordBatch]:
-        table, i, d = PivotTable(first.view(np.uint64), FAR), np.arange(len(group)), 1
-        while len(i := i[: np.searchsorted(i, len(group) - d)]) and len(i := i[group[i] == group[i + d]]):
-            x = i[root[i] != root[i + d]]
-            if dealt:
-                x = x[(main[x] | main[x + d]).astype(bool) | (np.where(node[x] < node[x + d], own[x], own[x + d]) == here[x])]
+    def rows(group: np.ndarray, first: np.ndarray, second: np.ndarray, *rest: np.ndarray) -> pa.RecordBatch:
+        table, found = PivotTable(first.view(np.uint64), FAR), np.zeros(len(group), bool)
+        for d, i in _at_distance(group):
+            x = _open(i[~(found[i] & found[i + d])], d, *rest)
             x = x[near(table, second, x, x + d)]
-            if len(x):
-                yield arrow(pa.schema([("a", pa.int64()), ("b", pa.int64())]), [np.minimum(node[x], node[x + d]), np.maximum(node[x], node[x + d])])
-            d += 1
+            found[x] = found[x + d] = True
+        return arrow(pa.schema(list(zip(names, kinds, strict=True))), [c[found] for c in (group, *rest)])
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * len(names)
-        for b in batches:
-            held = [np.r_[x, b[c].to_numpy(zero_copy_only=False)] for x, c in zip(held, names, strict=True)]
-            cut = np.searchsorted(held[0], held[0][-1]) if len(held[0]) else 0
-            if cut:
-                yield from pairs(*[x[:cut] for x in held])
-                held = [x[cut:] for x in held]
-        yield from pairs(*held)
+    return lambda batches: _group_by_group(batches, dict.fromkeys(["group", "first", "second", *names[1:]], 0), rows)
 
-    return run
 
+def _clustered(dealt: bool):
+    """Of buckets (a, b) that connect rows as candidates do: each row that has one with the first of those it reaches, so no more links than rows."""
+    names = ["group", "bits", *[*_KEPT][1:], *[*_DEALT] * dealt]
+
+    def rows(group: np.ndarray, words: np.ndarray, node: np.ndarray, root: np.ndarray, seen: np.ndarray, size: np.ndarray, *slices: np.ndarray) -> pa.RecordBatch:
+        label = np.arange(len(group))
+        for d, i in _at_distance(group):
+            x = _open(i[label[i] != label[i + d]], d, node, root, seen, size, *slices)
+            x = x[may_be_similar(words[x], size[x], words[x + d], size[x + d], FAR_MORE)]
+            while len(x):
+                top = np.arange(len(group))
+                top[np.maximum(label[x], label[x + d])] = np.minimum(label[x], label[x + d])
+                while (top != top[top]).any():
+                    top = top[top]
+                label = top[label]
+                x = x[label[x] != label[x + d]]
+        other = np.flatnonzero(label != np.arange(len(group)))
+        return arrow(pa.schema([("a", pa.int64()), ("b", pa.int64())]), [node[label[other]], node[other]])
 
-def _in_bands(rooted: DataFrame, large: DataFrame) -> DataFrame:
-    """rooted: node, root, bits; large: roots of over SLICE nodes. (a, b), pairs of different roots with a band in common that their first words allow.
+    return lambda batches: _group_by_group(batches, {c: MORE * (c == "bits") for c in names}, rows)
 
-    Buckets with over SLICE nodes of such roots are dealt out to slices.
+
+def _in_bands(rooted: DataFrame, large: DataFrame, bands: range) -> DataFrame:
+    """rooted: node, root, seen, size, bits; large: roots of over SLICE nodes. (a, b), links that connect all pairs of different roots and seen with one of these bands in common that may be similar by their first words.
+
+    Buckets with over SLICE nodes of such roots are dealt out to slices. Of each bucket the rows with one near go on;
+    with more words they are connected.
     """
-    met = lambda df, dealt: df.repartition("group").sortWithinPartitions("group").mapInArrow(_meetings(dealt), "a long, b long")
-    keyed = rooted.mapInArrow(_banded, _ROW)
-    if not large.limit(1).count():
+    grouped = lambda df: df.repartition("group").sortWithinPartitions("group")
+    more = rooted.select("node", F.substring("bits", 1, 8 * MORE).alias("bits"))
+
+    def met(df: DataFrame, dealt: bool) -> DataFrame:
+        some = grouped(df).mapInArrow(_promising(dealt), ", ".join(f"{c} {k}" for c, k in (_KEPT | _DEALT if dealt else _KEPT).items()))
+        return grouped(some.join(more, "node")).mapInArrow(_clustered(dealt), "a long, b long")
+
+    keyed = rooted.mapInArrow(_banded(bands), _ROW)
+    hot = checkpointed(rooted.join(large, "root").select(*rooted.columns).mapInArrow(_banded(bands), _ROW).groupBy("key").count().where(f"count > {SLICE}").select("key"))
+    if not hot.limit(1).count():
         return met(keyed.withColumnRenamed("key", "group"), False)
-    theirs = rooted.join(large, "root").select("node", "root", "bits").mapInArrow(_banded, _ROW)
-    hot = checkpointed(theirs.groupBy("key").count().where(f"count > {SLICE}").select("key"))
-    dealt = dealt_out(keyed.join(hot, "key"), "node", SLICE).select("group", "node", "root", "first", "second", "main", "own", "slice")
+    dealt = dealt_out(keyed.join(hot, "key"), "node", SLICE).drop("key")
     return met(keyed.join(hot, "key", "left_anti").withColumnRenamed("key", "group"), False).union(met(dealt, True))
 
 
+def in_cells(members: DataFrame) -> DataFrame:
+    """members: cluster, node, root, seen. group, node, root, seen, own, same: cells in which each two nodes of a cluster that differ in root meet once.
+
+    A cluster is cut into slices, each two of which are a cell (same: both are one, and its own pairs count); where the
+    commonest root has many nodes these are slices of their own that meet only the others. So a node is sent to as many
+    cells as there are slices, a cell is bounded, and a large root with a few others costs no more than its nodes.
+    """
+    parts = lambda n: f"cast(greatest(least(ceil({n} / {PART}), {PARTS}), ceil({n} / {SLICE})) as int)"
+    each = members.groupBy("cluster", "root").agg(F.count("*").alias("n")).groupBy("cluster")
+    each = each.agg(F.sum("n").alias("n"), F.max("n").alias("m"), F.max_by("root", F.struct("n", "root")).alias("most")).withColumn("m", F.expr(f"if(m > {PART}, m, 0)"))
+    each = checkpointed(each.select("cluster", F.expr("if(m > 0, most, null)").alias("most"), F.expr(parts("(n - m)")).alias("others"), F.expr(parts("m")).alias("mains")))
+    out = members.join(each, "cluster").withColumn("main", F.coalesce(F.col("root") == F.col("most"), F.lit(False)))
+    out = out.withColumn("own", F.expr("cast(if(main, others + pmod(xxhash64(2, node), mains), pmod(xxhash64(2, node), others)) as int)"))
+    with_others = "transform(sequence(0, others - 1), k -> struct(least(own, k) as low, greatest(own, k) as high))"
+    with_mains = "if(main or mains = 0, array(), transform(sequence(others, others + mains - 1), k -> struct(own as low, k as high)))"
+    out = out.withColumn("cell", F.explode(F.expr(f"concat({with_others}, {with_mains})")))
+    return out.select(F.xxhash64("cluster", "cell.low", "cell.high").alias("group"), "node", "root", "seen", "own", (F.col("cell.low") == F.col("cell.high")).alias("same"))
+
+
+def _similar_to(x: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Which sets are similar to x, all in order."""
+    size = np.array([len(y) for y in others])
+    y = np.concatenate(others)
+    hit = x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y
+    common = np.add.reduceat(hit, np.cumsum(size) - size, dtype=np.int64)
+    return DEN * common >= NUM * (len(x) + size - common)
+
+
+def _linked(batches: Iterable[pa.RecordBatch], block: int = 64) -> Iterator[pa.RecordBatch]:
+    """Of cells the similar pairs that connect what is not connected yet."""
+    for t in by_group(batches):
+        node, seen, own, size, words = *(t[c].to_numpy() for c in ("node", "seen", "own", "size")), _words_of(t["bits"])
+        shingles = [np.frombuffer(x, np.uint32) for x in t["shingles"].to_pylist()]
+        label, same, found = t["root"].to_numpy().copy(), t["same"][0].as_py(), []
+        table = PivotTable(np.ascontiguousarray(words[:, 0]), FAR)
+        for i in range(len(node) - 1):
+            y = np.arange(i + 1, len(node))
+            y = y[(label[y] != label[i]) & (seen[y] != seen[i]) & (same | (own[y] != own[i]))]
+            y = y[near(table, words[:, 1], np.full(len(y), i), y)] if len(y) else y
+            y = y[may_be_similar(words[i], size[i], words[y], size[y])] if len(y) else y
+            for at in range(0, len(y), block):
+                z = y[at : at + block]
+                z = z[label[z] != label[i]]
+                for j in z[_similar_to(shingles[i], [shingles[k] for k in z])] if len(z) else ():
+                    if label[j] != label[i]:
+                        label[label == label[j]] = label[i]
+                        found.append(sorted((int(node[i]), int(node[j]))))
+        yield arrow(pa.schema([("a", pa.int64()), ("b", pa.int64())]), list(zip(*found, strict=True)) if found else [[], []])
+
+
+def picked_sets(sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """sets: node, shingles; wanted: distinct nodes. One row each of the wanted ones. A map of their nodes goes to where the sets are, so that few others are shuffled."""
+    at = F.pmod("node", F.lit(MAP))
+    word = wanted.select(F.floor(at / 32).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(node, {MAP}) % 32 as int))").alias("bit"))
+    found = word.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    here = np.zeros(MAP // 32, np.uint32)
+    here[found["word"].to_numpy()] = found["bits"].to_numpy().astype(np.uint32)
+    here = here.tobytes()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = np.frombuffer(here, np.uint32)
+        for b in batches:
+            at = b["node"].to_numpy() % MAP
+            yield b.filter(pa.array((words[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool)))
+
+    return sets.select("node", "shingles").mapInArrow(run, "node long, shingles binary").join(wanted, "node").dropDuplicates(["node"])
+
+
 def similar_links(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     """nodes: node, size, bits, few; sets: node, shingles. (a, b), enough of the similar pairs of nodes to connect all that they connect.
 
     Nodes with a band of their SimHash in common are in one bucket. First each is compared with one of those that have
-    two bands in common, another in each bucket, so that a large group is connected by links in its size; then the
-    pairs of each band's buckets that are not connected yet. SimHash pivot tables and whole fingerprints discard
-    candidates, the shingles verify the rest. In a bucket with over SLICE rows of a large root those of its commonest
-    root are dealt out to slices, and the others go to all slices; so a large group that is connected but for a few is
-    not compared with itself.
+    two bands in common, another in each bucket, so that a large group is connected by links in its size. Then what may
+    be similar but is not connected yet is told in each band's buckets: SimHash pivot tables and fingerprints discard
+    rows, and the others are connected to clusters by links in their number, never by all their pairs. A cluster's
+    nodes are compared where they meet, in cells, each with its shingles, and only the links that connect go out; this is done
+    for a few bands first, so that a large group is told once and not in every band. In a
+    bucket with over SLICE rows of a large root those of its commonest root are dealt out to slices, and the others go
+    to all slices; so a large group that is connected but for a few is not compared with itself.
     """
     beside = lambda c: nodes.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("bits").alias(f"bits_{c}"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = checkpointed(pairs.distinct())
         pairs = checkpointed(pairs.join(beside("a"), "a").join(beside("b"), "b").mapInArrow(_alike, "a long, b long"))
-        held = checkpointed(sets.join(pairs.select("a").union(pairs.select("b")).toDF("node").distinct(), "node").dropDuplicates(["node"]))
+        held = checkpointed(picked_sets(sets, pairs.select("a").union(pairs.select("b")).toDF("node").distinct()))
         links = pairs.join(held.toDF("a", "of_a"), "a").join(held.toDF("b", "of_b"), "b").select("a", "b", "of_a", "of_b")
         return checkpointed(links.mapInArrow(_verified, "a long, b long"))
 
@@ -198,9 +338,18 @@ def similar_links(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     links = verified(star.select(F.least("with", "node").alias("a"), F.greatest("with", "node").alias("b")))
 
     label = components(links).withColumnRenamed("root", "of")
-    rooted = checkpointed(nodes.where("size > 0").select("node", "bits").join(label, "node", "left").select("node", F.coalesce("of", "node").alias("root"), "bits"))
+    rooted = nodes.where("size > 0").join(label, "node", "left").select("node", F.coalesce("of", "node").alias("root"), F.col("node").alias("seen"), "size", "bits")
+    rooted = checkpointed(rooted)
     large = checkpointed(rooted.groupBy("root").count().where(f"count > {SLICE}").select("root"))
-    return links.union(verified(_in_bands(rooted, large)))
+    for bands in (range(SOON), range(SOON, BANDS)):
+        cluster = components(_in_bands(rooted, large, bands)).withColumnRenamed("root", "cluster")
+        members = checkpointed(rooted.join(cluster, "node"))
+        held = checkpointed(picked_sets(sets, members.select("node")).join(members.select("node", "size", "bits"), "node"))
+        cells = in_cells(members.select("cluster", "node", "root", "seen")).join(held, "node").repartition("group").sortWithinPartitions("group", "node")
+        links = links.union(checkpointed(cells.mapInArrow(_linked, "a long, b long")))
+        if bands.stop < BANDS:
+            rooted = checkpointed(rooted.join(cluster, "node", "left").withColumn("seen", F.coalesce("cluster", "seen")).drop("cluster"))
+    return links
 
 
 def similar_documents(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle_words: int = SHINGLE_WORDS) -> DataFrame:

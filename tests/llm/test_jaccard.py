@@ -4,6 +4,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -105,3 +106,30 @@ def test_sets_of_few_shingles_meet_without_one():
     h = np.arange(1, 10, dtype=np.uint64)
     assert all(set(jaccard.without_one(h[:n])) & set(jaccard.without_one(np.delete(h[:n], i))) for n in range(5, 10) for i in range(n))
     assert jaccard.without_one(h[:0]) == [] and jaccard.without_one(np.arange(10, dtype=np.uint64)) == []
+
+
+def test_candidates_of_a_group_grow_with_its_rows():
+    """Of a bucket of rows that are all near no more rows and links go out than it has, and cells hold each pair of a cluster once."""
+    n, r = 300, np.random.default_rng(2)
+    words = np.repeat(r.integers(0, 1 << 63, (1, jaccard.WORDS), dtype=np.uint64), n, axis=0)
+    words[:, 20] = np.arange(n)
+    node = np.arange(n)
+    columns = {"group": node * 0, "node": node, "root": node, "seen": node, "size": node * 0 + 100}
+    first = {"first": words[:, 0].view(np.int64), "second": words[:, 1].view(np.int64)}
+    near = list(jaccard._promising(False)([pa.RecordBatch.from_pydict(columns | first)]))
+    assert sum(b.num_rows for b in near) == n
+    bits = [w[: jaccard.MORE].tobytes() for w in words]
+    links = list(jaccard._clustered(False)([pa.RecordBatch.from_pydict(columns | {"bits": bits})]))
+    assert sum(b.num_rows for b in links) == n - 1
+    compared = list(jaccard._clustered(False)([pa.RecordBatch.from_pydict(columns | {"seen": node * 0, "bits": bits})]))
+    assert sum(b.num_rows for b in compared) == 0
+
+
+def test_cells_hold_each_pair_of_a_cluster_once(spark):
+    rows = [(c, 1000 * c + i, 7 if i < main else 1000 * c + i, 0) for c, n, main in [(1, 300, 0), (2, 200, 150), (3, 5, 2)] for i in range(n)]
+    cells = {}
+    for x in jaccard.in_cells(spark.createDataFrame(rows, "cluster long, node long, root long, seen long")).collect():
+        cells.setdefault(x["group"], []).append(x)
+    met = [frozenset((a["node"], b["node"])) for c in cells.values() for a, b in combinations(c, 2) if a["root"] != b["root"] and (a["same"] or a["own"] != b["own"])]
+    assert len(met) == len(set(met)) == 300 * 299 // 2 + 50 * 49 // 2 + 50 * 150 + 3 + 3 * 2
+    assert max(map(len, cells.values())) < 300
