@@ -10,6 +10,13 @@ def links(spark, some):
     return graph.normalised(spark.createDataFrame([(g, a, b, float(w)) for g, a, b, w in some], "genome_id long, v long, w long, weight double"), "genome_id")
 
 
+def test_the_way_along_a_chain_has_the_sign_of_its_weights(spark):
+    """The unitig 4-5 is shorter than k, so the edge between its sides is below 0."""
+    parts = chains.contracted(links(spark, [(0, 1, 4, 2), (0, 4, 5, -1), (0, 5, 2, 3)]))
+    pairs = spark.createDataFrame([(0, 4, 5), (0, 5, 4)], "genome_id long, v long, w long")
+    assert rows(chains.distances_on_chains(parts, pairs)) == [(0, 4, 5, -1.0), (0, 5, 4, -1.0)]
+
+
 def test_contraction_by_joins_is_that_of_the_plain_form(spark):
     """Sparse graphs with long chains, chains that return to one node and loops of all lengths."""
     r = random.Random(1)
